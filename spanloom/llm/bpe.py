@@ -18,7 +18,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import BoundedCache, map_columns, spaced_chunks
+from spanloom.llm.common import RecentCache, map_columns, spaced_chunks
 
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
 
@@ -86,9 +86,10 @@ class ByteBPE:
         pieces = self.processor.id_to_piece(list(range(size)))
         self.tokens = [bytes(map(to_byte.__getitem__, piece)) for piece in pieces]
         self.whole = {token.decode("latin-1").translate(_TO_CHARS): i for i, token in enumerate(self.tokens)}
+        self._numbers = list(range(size))  # one object for each id in all memos
         self._decimal = [str(i) for i in range(size)]
         self.pattern = regex.compile(pattern)
-        self._spaced, self._first = BoundedCache(), BoundedCache(20_000)
+        self._spaced = RecentCache(lambda chunk: self._encode_chunk(" " + chunk))
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
         ids: list[int] = []
@@ -99,19 +100,12 @@ class ByteBPE:
                 ids += self.processor.encode(mapped)
             else:
                 ids.append(known)
-        return tuple(ids)
+        return tuple(map(self._numbers.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         first, *rest = spaced_chunks(text)
         self._spaced.room()
-        self._first.room()
-        if (head := self._first.get(first)) is None:
-            head = self._first[first] = self._encode_chunk(first)
-        cache = self._spaced
-        for chunk in set(rest):
-            if chunk not in cache:
-                cache[chunk] = self._encode_chunk(" " + chunk)
-        return [*head, *chain.from_iterable(map(cache.__getitem__, rest))]
+        return [*self._encode_chunk(first), *chain.from_iterable(map(self._spaced.__getitem__, rest))]
 
     def decimal(self, ids: list[int]) -> bytes:
         return ",".join(map(self._decimal.__getitem__, ids)).encode()

@@ -60,15 +60,24 @@ def spaced_chunks(text: str) -> list[str]:
     return _CUT.split(text)
 
 
-class BoundedCache(dict):
-    """A memo that starts afresh when full, so its memory has a bound whatever the input is."""
+class RecentCache(dict):
+    """Values of ``compute`` by key, of bounded number: a full memo becomes the old half, and what is used again comes back."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, compute: Callable[[Any], Any], limit: int = 400_000):
         super().__init__()
-        self.limit = limit
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
 
     def room(self) -> None:
+        """To be called between uses."""
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
 
 

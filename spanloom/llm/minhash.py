@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BoundedCache, map_columns, materialise
+from spanloom.llm.common import map_columns, materialise
 from spanloom.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -145,13 +145,14 @@ def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, perce
     texts = materialise(map_columns(texts, own, "class long, text string").dropDuplicates(["class"]))
     side = lambda s: texts.select(F.col("class").alias(s), F.col("text").alias(f"t_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    seen = BoundedCache(64)
+    seen: dict[int, np.ndarray] = {}
 
     def check(columns: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": []}
         for a, b, text_a, text_b in zip(*(columns[c] for c in ("a", "b", "t_a", "t_b")), strict=True):
-            seen.room()
             if a not in seen:
+                if len(seen) >= 64:
+                    seen.clear()
                 seen[a] = shingle_hashes(text_a)
             first, second = seen[a], shingle_hashes(text_b)
             common = np.intersect1d(first, second, assume_unique=True).size

@@ -14,13 +14,13 @@ import pickle
 import re
 import zlib
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BoundedCache, hash_sample, held_out, map_columns, sample_fraction
+from spanloom.llm.common import RecentCache, hash_sample, held_out, map_columns, sample_fraction
 
 #: Bounds of the training sample: toxic and clean documents, and characters of each of them.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARACTERS = 1500, 2000, 20_000
@@ -91,7 +91,16 @@ class ToxicityModel:
     bias: float = -20.0
     start: float = 0.0
     transition: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    _seen: BoundedCache = field(default_factory=lambda: BoundedCache(200_000), repr=False)
+
+    def __post_init__(self) -> None:
+        self._seen = RecentCache(self._odds)
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_seen"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.__post_init__()
 
     def _odds(self, token: str) -> float:
         word = normal(token)
@@ -102,9 +111,6 @@ class ToxicityModel:
         """Probability of each token's being toxic, given all tokens of the text."""
         seen = self._seen
         seen.room()
-        for token in set(tokens):
-            if token not in seen:
-                seen[token] = self._odds(token)
         odds = list(map(seen.__getitem__, tokens))
         a01, a10, a11 = np.exp(self.transition).tolist()
         forward, ratio = [], float(np.exp(self.start))
@@ -201,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, c
     found = sorted({(row["toxic"], row["text"]) for row in sampled.collect()})
     toxic, clean = ([[normal(t) for t in tokens_of(text)] for value, text in found if value == kind] for kind in (1, 0))
     cues = choose_cues([set(words) - {""} for words in toxic], [set(words) - {""} for words in clean])
-    known = BoundedCache(10**9)
+    known: dict[str, int] = {}
     for words in toxic:
         for word in words:
             if word not in known:
