@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, fingerprint, langid, minhash, packing, secrets, toxicity
+from spanloom.llm import ann, bpe, chat, fingerprint, langid, minhash, packing, secrets, toxicity
 from spanloom.llm.common import table
 
 
@@ -36,6 +37,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op4_neighbours": op4_neighbours,
     "op5_minhash": op5_minhash,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
