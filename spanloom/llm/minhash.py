@@ -232,3 +232,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     out = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(found, "digest").select("doc_id", "n_shingles", "component_id")
     alone = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_representatives(docs: DataFrame, *, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which one of each group of near-duplicates stays.
+
+    That is the row of the group's least ``doc_id``; rows without an id come last, and of several rows
+    of that id the first as numbered when the table is written here. Rows whose text has no words
+    are linked with nothing and stay.
+    """
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), percent=percent).select(F.col("doc_id").alias("__row"), "component_id")
+    placed = numbered.select("__row", "doc_id").join(groups, "__row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

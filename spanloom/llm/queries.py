@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, chat, fingerprint, langid, minhash, packing, secrets, toxicity
+from spanloom.llm import ann, bpe, chat, fingerprint, langid, licenses, minhash, packing, secrets, toxicity
 from spanloom.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pre_token_pattern())
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_neighbours": op4_neighbours,
     "op5_minhash": op5_minhash,
+    "op6_licenses": op6_licenses,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,

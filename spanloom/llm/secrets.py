@@ -10,8 +10,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
@@ -110,3 +112,27 @@ def scan_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio:
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
     return map_columns(docs.select("doc_id", "text"), scan, schema + ", redacted_text string" * with_text)
+
+
+def redact_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """The rows of ``docs`` with secrets in ``text`` replaced by marks and ``n_chars`` set to the new length.
+
+    Other columns stay as they are; a null text stays null and keeps its ``n_chars``.
+    """
+    with open(ranks_path, "rb") as file:
+        ranks = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(ranks.value, pattern)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, text in enumerate(texts):
+                if text:
+                    base = base_spans(text)
+                    texts[i] = redacted(text, base + random_spans(text, encoding, base, max_ratio))
+            lengths = [known if text is None else len(text) for text, known in zip(texts, batch.column("n_chars").to_pylist(), strict=True)]
+            changed = {"text": texts, "n_chars": lengths}
+            columns = [pa.array(changed[f.name], f.type) if f.name in changed else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(redact, docs.schema)
