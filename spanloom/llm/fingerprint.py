@@ -123,13 +123,16 @@ def compare_edited(docs: DataFrame, *, partitions: int = 256) -> DataFrame:
     Texts are dealt by id once, for both the join that fetches what replaces the tail and the one
     that puts it in; only tails, ids and fingerprints are dealt besides.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both joins below read the same columns and rows of this table, so its texts are dealt out once
+    base = whole.filter(F.col("doc_id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4)).cast("int").alias("tail"))
     order = materialise(next_ids(ids, partitions))
     tie = F.struct(F.xxhash64("text"), F.col("row"))
     heads = base.join(order.select(F.col("doc_id").alias("id"), "next_id", "tail"), F.col("doc_id") == F.col("next_id")).select("id", F.substring("text", F.lit(1), F.col("tail")).alias("head"), tie.alias("tie"))
     heads = heads.groupBy("id").agg(F.min_by("head", "tie").alias("head"))
-    both = base.join(heads, F.col("doc_id") == F.col("id"), "left")
+    unplaced = whole.filter(F.col("doc_id").isNull()).select("doc_id", "text", (-1 - F.monotonically_increasing_id()).alias("row"), F.lit(None).cast("string").alias("head"))
+    both = base.join(heads, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "row", "head").unionByName(unplaced)
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.when(F.col("head").isNotNull(), F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("head", F.lit(1), quarter)))
     sides = both.select("doc_id", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("s"))
