@@ -427,12 +427,12 @@ def forward_coverage(spark, sf_dir):
 def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A table of first line items, and discoveries of orders: keys modulo 3 and 5 are missing on one side."""
     rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 <> 0")
-    known = rows.select(F.col("l_orderkey").alias("core"), F.col("l_linenumber").cast("long").alias("ord"), F.lit("up").alias("upstream_doc"), F.concat(F.lit("<A-"), F.col("l_partkey") % 10, F.lit(">")).alias("upstream_ref"), F.lit("table").alias("relation_source"), F.lit("").alias("evidence"))
+    known = rows.select(F.col("l_orderkey").alias("core"), (F.col("l_linenumber") * F.lit(10**8) + F.col("l_partkey")).cast("long").alias("ord"), F.lit("up").alias("upstream_doc"), F.concat(F.lit("<X-A"), F.col("l_partkey") % 10, F.lit(">")).alias("upstream_ref"), F.lit("table").alias("relation_source"), F.lit("").alias("evidence"))
     found = table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("core"), F.lit("up").alias("main_doc"), F.lit("item").alias("main_kind"), F.concat(F.lit("<B-A0"), F.col("o_custkey") % 10, F.lit(">")).alias("main_key"), F.lit(0.5).alias("main_score"))
     return known, found
 
 
-_KNOWN = "known AS (SELECT l_orderkey AS core, CAST(l_linenumber AS BIGINT) AS ord, l_partkey % 10 AS part FROM lineitem WHERE l_orderkey % 3 <> 0)"
+_KNOWN = "known AS (SELECT l_orderkey AS core, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey AS ord, l_partkey % 10 AS part FROM lineitem WHERE l_orderkey % 3 <> 0)"
 _FOUND = "found AS (SELECT o_orderkey AS core, o_custkey % 10 AS main FROM orders WHERE o_orderkey % 5 <> 0)"
 
 
