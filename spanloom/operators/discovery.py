@@ -49,12 +49,12 @@ def encoded(texts: DataFrame, column: str, encoder: Encoder = hashed_grams, batc
 
 def profiled(units: DataFrame, latin: bool = False) -> DataFrame:
     """[N1, N9, N11, N12] Units with normal form, tokens, distinct grams for containment, anchors and class codes."""
-    norm = T.normalised(F.col("content"))
+    units = units.withColumn("norm", T.normalised(F.col("content")))
     tokens = T.words(F.col("content"), 4) if latin else T.tokens(F.col("content"))
-    grams = F.array_distinct(T.words(F.col("content"), 2)) if latin else T.bigrams(norm)
+    grams = F.array_distinct(T.words(F.col("content"), 2)) if latin else T.bigrams(F.col("norm"))
     anchors = F.transform(T.list_items(F.col("content")), lambda a: F.struct(T.normalised(a).alias("norm"), F.length(T.normalised(a)).alias("weight"), F.substring(a, 1, 30).alias("raw")))
     return units.withColumns(
-        {"norm": norm, "tokens": tokens, "grams": grams, "anchors": F.filter(anchors, lambda a: a["weight"] >= 3), "classes": F.array_union(T.class_codes(F.col("key")), T.class_codes(F.col("content")))}
+        {"tokens": tokens, "grams": grams, "anchors": F.filter(anchors, lambda a: a["weight"] >= 3), "classes": F.array_union(T.class_codes(F.col("key")), T.class_codes(F.col("content")))}
     )
 
 

@@ -59,14 +59,31 @@ def _cut_tail(text: Column, pattern: str, below: int) -> Column:
     return F.when((tail != "") & (F.length(T.strip(tail)) < below), F.substring(text, F.lit(1), F.length(text) - F.length(tail))).otherwise(text)
 
 
-def clean_content(text: Column) -> Column:
-    """[N17] Stripped lines; enumerations on lines of their own; no drawings, trailing headings or appendix notes."""
-    t = F.array_join(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: s != ""), "\n")
-    t = F.regexp_replace(t, r"；\s*(?=\d+[)）])", "；\n")
-    t = without_drawings(t)
-    t = _cut_tail(t, TRAILING_HEADINGS, 60)
-    t = _cut_tail(t, TRAILING_SUBTITLE, 60)
-    return T.strip(_cut_tail(t, TRAILING_APPENDIX, 200))
+def staged(df: DataFrame, column: str, *steps) -> DataFrame:
+    """Steps on a column one projection after another, so that each reads the value before, not its whole expression again.
+
+    The last step is the identity by way of a generator: filters on the result would else be pushed
+    below all steps, each of which multiplies their expression.
+    """
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df.withColumn(column, F.explode(F.array(column)))
+
+
+def _lines_only(text: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: s != ""), "\n")
+
+
+#: [N17] Stripped lines; enumerations on lines of their own; no drawings, trailing headings or appendix notes.
+CLEANING = (
+    _lines_only,
+    lambda t: F.regexp_replace(t, r"；\s*(?=\d+[)）])", "；\n"),
+    without_drawings,
+    lambda t: _cut_tail(t, TRAILING_HEADINGS, 60),
+    lambda t: _cut_tail(t, TRAILING_SUBTITLE, 60),
+    lambda t: _cut_tail(t, TRAILING_APPENDIX, 200),
+    T.strip,
+)
 
 
 def without_title_line(text: Column) -> Column:
@@ -139,7 +156,8 @@ def items(docs: DataFrame) -> DataFrame:
 
     An id's occurrences merge into one item at its first kept place; a single one keeps its text.
     """
-    cut = sliced(docs, T.ITEM_ID).select("doc", "ord", T.normal_id(F.col("found")).alias("item_id"), F.col("found").alias("raw_id"), without_title_line(clean_content(F.col("content"))).alias("content"))
+    cut = sliced(docs, T.ITEM_ID).select("doc", "ord", T.normal_id(F.col("found")).alias("item_id"), F.col("found").alias("raw_id"), "content")
+    cut = staged(cut, "content", *CLEANING, without_title_line)
     kept = cut.filter(~is_noise_item(F.col("content"))).withColumn("content", without_table(F.col("content")))
     grouped = kept.groupBy("doc", "item_id").agg(F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("ord", "raw_id", "content"))).alias("parts"))
     content = F.when(F.size("parts") == 1, F.col("parts")[0]["content"]).otherwise(merged_lines(F.transform("parts", lambda p: p["content"])))
@@ -172,8 +190,9 @@ def sections(docs: DataFrame) -> DataFrame:
     placed = marked.withColumn("titled", titled).withColumn("section", F.count("number").over(order)).filter("section > 0")
     body = F.when(F.col("number").isNull() & ~F.col("titled"), F.struct("ord", "line"))
     grouped = placed.groupBy("doc", "section").agg(F.min("ord").alias("ord"), F.max("number").alias("section_number"), F.max(F.when(F.col("number").isNotNull(), T.strip(F.col("title")))).alias("section_title"), F.sort_array(F.collect_list(body)).alias("body"))
-    content = clean_content(F.array_join(F.transform("body", lambda b: b["line"]), "\n"))
-    return grouped.select("doc", "ord", "section_number", "section_title", content.alias("content"), F.concat("section_number", "section_title").alias("full_key"))
+    content = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
+    rows = grouped.select("doc", "ord", "section_number", "section_title", content.alias("content"), F.concat("section_number", "section_title").alias("full_key"))
+    return staged(rows, "content", *CLEANING)
 
 
 def monotonic_skeleton(rows: DataFrame, partition: list[str], order: str, number: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import discovery, matrix, relations, units, verify
 from spanloom.options import DiscoveryOptions, MatchOptions
+from spanloom.session import cut
 
 MODES = ("table", "discover", "hybrid")
 
@@ -26,7 +27,7 @@ def from_tables(rels: DataFrame, down: DataFrame, up: DataFrame, both_ways: bool
     ``rels`` is what :func:`spanloom.operators.relations.parsed_relations` gives; ``down`` and ``up`` are
     documents ``doc``, ``text``.
     """
-    keys = relations.content_keys(units.items(up), units.sections(up))
+    keys = cut(relations.content_keys(units.items(up), units.sections(up)))
     names = relations.matched_names(rels.select(F.col("upstream_doc").alias("name")).filter("name <> ''"), up.select("doc", F.xxhash64("doc").alias("doc_ord")))
     placed = relations.joined_items(rels, units.items(down), both_ways).withColumnsRenamed({"doc": "downstream_doc", "upstream_doc": "name"})
     named = placed.join(names.withColumnRenamed("doc", "upstream_doc"), "name", "left").withColumn("upstream_doc", F.coalesce("upstream_doc", "name")).drop("name")
@@ -34,14 +35,15 @@ def from_tables(rels: DataFrame, down: DataFrame, up: DataFrame, both_ways: bool
     contents = found.select(F.col("doc").alias("upstream_doc"), F.col("ref").alias("upstream_ref"), F.col("content").alias("upstream_content"))
     rows = named.join(contents, ["upstream_doc", "upstream_ref"], "left")
     rows = rows.withColumns({"upstream_content": F.coalesce("upstream_content", F.lit("")), "relation_source": F.lit("table"), "evidence": F.lit(""), "candidate_score": F.lit(0.0), "ambiguous": F.lit(False)})
-    return relations.sequenced(rows, ["downstream_doc"])
+    return relations.sequenced(cut(rows), ["downstream_doc"])
 
 
 def from_content(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions(), latin: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """[X11, discover mode] Matrix rows found from content, the decisions, and the units of both sides."""
-    d = discovery.profiled(identified(units.units(down, "downstream"), 1), latin)
-    u = discovery.profiled(identified(units.units(up, "upstream"), 2), latin)
-    decisions = discovery.discover(d, u, o)
+    # units are read by every channel: extract them once
+    d = cut(discovery.profiled(identified(units.units(down, "downstream"), 1), latin))
+    u = cut(discovery.profiled(identified(units.units(up, "upstream"), 2), latin))
+    decisions = cut(discovery.discover(d, u, o))
     rows = matrix.rows_of_decisions(decisions, d, u).withColumn("evidence", F.format_string("score=%.2f", "candidate_score"))
     return rows, decisions, d, u
 
