@@ -2,11 +2,13 @@
 
 1. Every whole text becomes a set of hashed word shingles, its digest, and a SuperMinHash signature.
 2. Texts of the same set form a class; from here on only one row of each class takes part.
-3. Bands of the signature deal classes into buckets. Each class is paired with the least class of its
+3. Bands of the signature deal classes into buckets. Each class is paired with the smallest set of its
    bucket, so a bucket of n classes gives n - 1 pairs. Pairs whose signatures exclude the wanted
    similarity go; the rest are confirmed on the whole sets. Components follow from the links.
-4. Buckets whose members are still in several components are looked through again, in blocks of
-   bounded size, for pairs across components; large ones are first parted by a second band.
+4. In large stars that reach into several components, the member closest to what most have is paired
+   with all others, too. Stars whose members are still in several components are looked through again, in blocks of bounded
+   size, for pairs across components. In large ones, where texts have much in common, only members
+   are compared that share something rare or that differ little from what most have; this loses no pair.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import map_columns, materialise
@@ -25,8 +27,10 @@ from spanloom.llm.graph import connected_components
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Members of a residual bucket that are compared in one block.
-BLOCK = 64
+#: Members of a key that are compared in one block.
+BLOCK = 1024
+#: Stars of up to so many members are compared directly; so many show the centre of a larger one.
+SMALL_STAR, CENTRE_MEMBERS = 32, 16
 #: Elements whose permutations are kept in memory at once while a signature is made.
 _ELEMENTS = 4096
 #: Standard deviations of the signature's estimate that a pair may fall short.
@@ -128,21 +132,25 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a long, b long")
 
 
-def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough; texts are brought only to classes that are in a pair.
-
-    A join on a class in very many pairs can be split, so such a class is no hot spot.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id", "digest"), "class")
+def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A text of each wanted class: ``class``, ``text``. An id may be repeated, so the digest decides which text it is."""
     named = docs.select("doc_id", "text").filter(F.length("text") > 0).withColumnsRenamed({"doc_id": "of"})
-    texts = wanted.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("class", "digest", "text")
+    texts = classes.select("class", "doc_id", "digest").join(wanted, "class").join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("class", "digest", "text")
 
     def own(columns: dict[str, list]) -> dict[str, list]:
         good = [i for i, text in enumerate(columns["text"]) if xxhash.xxh3_128_digest(shingle_hashes(text).tobytes()) == columns["digest"][i]]
         return {"class": [columns["class"][i] for i in good], "text": [columns["text"][i] for i in good]}
 
-    # an id may be repeated: only a text with the digest of the class stands for it
-    texts = materialise(map_columns(texts, own, "class long, text string").dropDuplicates(["class"]))
+    return map_columns(texts, own, "class long, text string").dropDuplicates(["class"])
+
+
+def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole sets are similar enough; texts are brought only to classes that are in a pair.
+
+    A join on a class in very many pairs can be split, so such a class is no hot spot.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = materialise(class_texts(wanted, classes, docs))
     side = lambda s: texts.select(F.col("class").alias(s), F.col("text").alias(f"t_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     seen: dict[int, np.ndarray] = {}
@@ -164,40 +172,117 @@ def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, perce
     return map_columns(both.select("a", "b", "t_a", "t_b"), check, "a long, b long")
 
 
-def residual_pairs(buckets: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components, in buckets that hold several components.
+def star_centres(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """What most members of each star have: ``a`` and ``centre``, sorted hashes as bytes.
 
-    ``buckets`` has ``key`` and ``class``. A member of a bucket with more than ``BLOCK`` members gets
-    a key for each other band besides; in each finer bucket, members are dealt to blocks, and each
-    two blocks are compared by themselves. So no task gathers more than two blocks, and no pair is
-    left out that shares both bands.
+    A few members of each star, chosen by hash, are looked at. Any set would do as a centre; the
+    closer it is to the members, the fewer pairs are compared.
     """
-    placed = buckets.join(components, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high and members > 2").select("key", "members")
-    members = placed.join(mixed, "key").join(classes.select("class", "n_shingles", "signature", "bands"), "class")
-    finer = F.when(F.col("members") > BLOCK, F.transform("bands", lambda k: F.xxhash64(F.col("key"), k))).otherwise(F.array("key"))
-    row = F.struct("class", "component", "n_shingles", "signature").alias("member")
-    fine = materialise(members.select(F.explode(F.array_distinct(finer)).alias("key"), F.pmod(F.xxhash64("class"), F.lit(1 << 30)).alias("deal"), row, "component"))
-    sizes = fine.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = fine.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod("deal", F.col("blocks")))
-    met = dealt.select("key", "own", "member", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    order = Window.partitionBy("a").orderBy(F.xxhash64("b"))
+    few = members.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= CENTRE_MEMBERS).select("a", F.col("b").alias("class"))
+    gathered = few.join(texts, "class").groupBy("a").agg(F.collect_list("text").alias("texts"))
+
+    def most(columns: dict[str, list]) -> dict[str, list]:
+        centres = []
+        for found in columns["texts"]:
+            hashes, times = np.unique(np.concatenate([shingle_hashes(text) for text in found]), return_counts=True)
+            centres.append(hashes[2 * times > len(found)].tobytes())
+        return {"a": columns["a"], "centre": centres}
+
+    return map_columns(gathered, most, "a long, centre binary", rows=20)
+
+
+def star_members(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Members of large stars beside their centre: ``a``, ``b``, ``first`` (how many shingles can be keys), ``inside`` (how many the centre has), ``rest`` (the others) and ``near`` (similarity to the centre)."""
+    centres = materialise(star_centres(members, texts))
+    both = members.select("a", "b").join(texts.select(F.col("class").alias("b"), "text"), "b").join(centres, "a")
+
+    def rest(columns: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"a": columns["a"], "b": columns["b"], "first": [], "inside": [], "rest": [], "near": []}
+        for centre, text in zip(columns["centre"], columns["text"], strict=True):
+            own, middle = shingle_hashes(text), np.frombuffer(centre, "uint64")
+            outside = np.setdiff1d(own, middle, assume_unique=True)
+            inside = len(own) - len(outside)
+            out["first"].append(len(own) - (percent * len(own) + 99) // 100 + 1)
+            out["inside"].append(inside)
+            out["rest"].append(outside.astype("int64"))
+            out["near"].append(inside / (len(middle) + len(outside)))
+        return out
+
+    return materialise(map_columns(both.select("a", "b", "centre", "text"), rest, "a long, b long, first int, inside long, rest array<long>, near double"))
+
+
+def star_keys(rests: DataFrame) -> DataFrame:
+    """Similar members of one star share a key, see :func:`residual_pairs`: ``key``, ``class``, and ``inside``, which is -1 for keys that are shingles."""
+    listed = rests.select("a", "b", F.explode("rest").alias("key"))
+    counts = listed.groupBy("a", "key").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = listed.join(counts, ["a", "key"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("shared"))
+    # shingles that no other member has come first in the order and are no keys
+    left = F.col("first") - (F.size("rest") - F.size("shared"))
+    outside = rests.join(shared, ["a", "b"]).filter(left > 0).select("a", F.col("b").alias("class"), F.explode(F.slice("shared", F.lit(1), left)).alias("s"))
+    outside = outside.select(F.xxhash64("a", "s.key").alias("key"), "class", F.lit(-1).cast("long").alias("inside")).distinct()
+    return outside.unionByName(rests.select(F.xxhash64("a").alias("key"), F.col("b").alias("class"), "inside"))
+
+
+def compared(members: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across components among the members of each ``key``: ``a``, ``b``.
+
+    ``members`` has ``key``, ``class``, ``component``, ``n_shingles``, ``signature`` and ``inside``. The
+    members of a key's largest component meet only the others; both are dealt to blocks, and each two
+    blocks are compared by themselves. So no task gathers more than two blocks, and no pair is left out.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = keys.select("key", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n")).alias("minor_blocks"))
+    row = F.struct("class", "component", "n_shingles", "inside", "signature").alias("member")
+    dealt = members.join(plan, "key").withColumns({"is_major": F.col("component") == F.col("major"), "deal": F.pmod(F.xxhash64("class"), F.lit(1 << 30))})
+    own = F.when(F.col("is_major"), -1 - F.pmod("deal", F.col("major_blocks"))).otherwise(F.pmod("deal", F.col("minor_blocks")))
+    minors = F.sequence(F.lit(0), F.col("minor_blocks") - 1)
+    others = F.when(F.col("is_major"), minors).otherwise(F.concat(minors, F.sequence(-F.col("major_blocks"), F.lit(-1))))
+    met = dealt.select("key", own.cast("int").alias("own"), row, F.explode(others).alias("other"))
     groups = met.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("member").alias("members"))
 
     def compare(columns: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": []}
-        for members in columns["members"]:
-            ids, parts, sizes = (np.array([m[name] for m in members]) for name in ("class", "component", "n_shingles"))
-            signatures = np.frombuffer(b"".join(m["signature"] for m in members), "uint8").reshape(-1, SLOTS)
+        for found in columns["members"]:
+            ids, parts, n, inside = (np.array([m[name] for m in found]) for name in ("class", "component", "n_shingles", "inside"))
+            signatures = np.frombuffer(b"".join(m["signature"] for m in found), "uint8").reshape(-1, SLOTS)
             for i in range(len(ids) - 1):
-                same = (signatures[i + 1 :] == signatures[i]).sum(axis=1)
-                good = _likely(sizes[i], sizes[i + 1 :], same, percent) & (parts[i + 1 :] != parts[i])
-                for j in (good.nonzero()[0] + i + 1).tolist():
-                    out["a"].append(int(min(ids[i], ids[j])))
-                    out["b"].append(int(max(ids[i], ids[j])))
+                rest = slice(i + 1, None)
+                common = np.where(inside[rest] < 0, np.minimum(n[i], n[rest]), np.minimum(inside[i], inside[rest]))
+                near = ((parts[rest] != parts[i]) & (100 * common >= percent * (n[i] + n[rest] - common))).nonzero()[0] + i + 1
+                if len(near):
+                    good = near[_likely(n[i], n[near], (signatures[near] == signatures[i]).sum(axis=1), percent)]
+                    out["a"] += np.minimum(ids[i], ids[good]).tolist()
+                    out["b"] += np.maximum(ids[i], ids[good]).tolist()
         return out
 
-    return map_columns(groups.select("members"), compare, "a long, b long", rows=50).distinct()
+    return map_columns(groups.select("members"), compare, "a long, b long", rows=20).distinct()
+
+
+def mixed_stars(stars: DataFrame, components: DataFrame) -> DataFrame:
+    """Stars ``a`` whose members ``b`` are in several components, with the members' number and components."""
+    placed = stars.join(components, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    mixed = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("a", "members")
+    return placed.join(mixed, "a")
+
+
+def residual_pairs(held: DataFrame, keys: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across components among the members of stars that are still mixed.
+
+    Members of small stars are compared directly. For a large one, let c be a centre, for instance
+    what most members have. Of two similar members, either all that they have in common lies in c, or
+    not. In the first case they have no more in common than the fewer of their shingles in c, ``inside``,
+    and few pairs pass this bound. In the second, order shingles by whether c has them, not first, and
+    then by how many members do, few first: similar sets share their first common shingle among the
+    first n - ceil(t·n) + 1 of each, and that lies outside c; so it serves as a key. No pair is lost.
+    """
+    keyed = held.filter(F.col("members") <= SMALL_STAR).select(F.xxhash64("a").alias("key"), F.col("b").alias("class"), F.lit(-1).cast("long").alias("inside"))
+    if keys is not None:
+        keyed = keyed.unionByName(keys)
+    member = held.select(F.col("b").alias("class"), "component").distinct()
+    return compared(materialise(keyed.join(member, "class").join(classes.select("class", "n_shingles", "signature"), "class")), percent)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -215,14 +300,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()))
-    buckets = classes.select(F.explode("bands").alias("key"), "class")
-    led = buckets.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("members")).filter("members > 1").select("key", "a")
-    shared = materialise(buckets.join(led, "key"))
-    stars = shared.select("a", F.col("class").alias("b")).filter("a <> b").distinct()
+    buckets = classes.select(F.explode("bands").alias("key"), "class", "n_shingles")
+    led = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "class")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("least.class").alias("a"))
+    stars = materialise(buckets.join(led, "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
     likely = materialise(likely_pairs(stars, classes, percent))
     links = materialise(confirmed_pairs(likely, classes, docs, percent))
     components = materialise(connected_components(links, "a", "b"))
-    more = materialise(residual_pairs(shared.select("key", "class"), classes, components, percent).join(likely, ["a", "b"], "left_anti"))
+    held = materialise(mixed_stars(stars, components))
+    large = materialise(held.filter(F.col("members") > SMALL_STAR).select("a", "b"))
+    keys = None
+    if not large.isEmpty():
+        rests = star_members(large, materialise(class_texts(large.select(F.col("b").alias("class")).distinct(), classes, docs)), percent)
+        # a second star from the member closest to the centre links most of what is similar
+        closest = rests.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("closest"))
+        second = rests.select("a", "b").join(closest, "a").filter("b <> closest").select(F.least("b", "closest").alias("a"), F.greatest("b", "closest").alias("b")).distinct()
+        links = materialise(links.unionByName(confirmed_pairs(materialise(likely_pairs(second, classes, percent)), classes, docs, percent)))
+        components = materialise(connected_components(links, "a", "b"))
+        held = materialise(mixed_stars(stars, components))
+        keys = star_keys(rests.join(held.select("a", "b"), ["a", "b"], "left_semi"))
+    more = materialise(residual_pairs(held, keys, classes, percent))
     if not more.isEmpty():
         links = links.unionByName(confirmed_pairs(more, classes, docs, percent))
         components = materialise(connected_components(links, "a", "b"))
