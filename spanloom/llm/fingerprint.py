@@ -109,6 +109,21 @@ def next_ids(ids: DataFrame, partitions: int) -> DataFrame:
     return ranged.withColumn("inner", inner).join(F.broadcast(after), "part").select(*ids.columns, F.coalesce("inner", "after").alias("next_id"))
 
 
+def _both_sides(rows: DataFrame) -> DataFrame:
+    """Facts and lanes of each row's text (``own``) and of its edited form (``edited``, null without a ``head``)."""
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    edited = F.when(F.col("head").isNotNull(), F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("head", F.lit(1), quarter)))
+    sides = rows.select("doc_id", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("s"))
+    facts = sides.select("doc_id", "row", "s.side", "s.text").filter(F.col("text").isNotNull()).select(
+        "doc_id", "row", "side", "text", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.xxhash64("text").alias("hash")
+    )
+    lanes = fingerprints(facts, ["doc_id", "row", "side", "n_chars", "sha", "hash"])
+    return lanes.groupBy("doc_id", "row").agg(
+        F.max(F.when(F.col("side") == 0, F.struct("n_chars", "hash", "lanes"))).alias("own"),
+        F.max(F.when(F.col("side") == 1, F.struct("sha", "lanes"))).alias("edited"),
+    )
+
+
 def compare_edited(docs: DataFrame, *, partitions: int = 256) -> DataFrame:
     """Fingerprint each text, its edited form, and say how like it is to that and to the next text.
 
@@ -131,19 +146,10 @@ def compare_edited(docs: DataFrame, *, partitions: int = 256) -> DataFrame:
     tie = F.struct(F.xxhash64("text"), F.col("row"))
     heads = base.join(order.select(F.col("doc_id").alias("id"), "next_id", "tail"), F.col("doc_id") == F.col("next_id")).select("id", F.substring("text", F.lit(1), F.col("tail")).alias("head"), tie.alias("tie"))
     heads = heads.groupBy("id").agg(F.min_by("head", "tie").alias("head"))
+    both = base.join(heads, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "row", "head")
     unplaced = whole.filter(F.col("doc_id").isNull()).select("doc_id", "text", (-1 - F.monotonically_increasing_id()).alias("row"), F.lit(None).cast("string").alias("head"))
-    both = base.join(heads, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "row", "head").unionByName(unplaced)
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    edited = F.when(F.col("head").isNotNull(), F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("head", F.lit(1), quarter)))
-    sides = both.select("doc_id", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("s"))
-    facts = sides.select("doc_id", "row", "s.side", "s.text").filter(F.col("text").isNotNull()).select(
-        "doc_id", "row", "side", "text", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.xxhash64("text").alias("hash")
-    )
-    lanes = fingerprints(facts, ["doc_id", "row", "side", "n_chars", "sha", "hash"])
-    one = lanes.groupBy("doc_id", "row").agg(
-        F.max(F.when(F.col("side") == 0, F.struct("n_chars", "hash", "lanes"))).alias("own"),
-        F.max(F.when(F.col("side") == 1, F.struct("sha", "lanes"))).alias("edited"),
-    )
+    # each by itself: the joined rows are grouped where they are
+    one = _both_sides(both).unionByName(_both_sides(unplaced))
     one = materialise(one)
     following = one.groupBy("doc_id").agg(F.min_by("own.lanes", F.struct("own.hash", "row")).alias("next_lanes")).select(F.col("doc_id").alias("next_id"), "next_lanes")
     following = order.select(F.col("doc_id").alias("id"), "next_id").join(following, "next_id")
