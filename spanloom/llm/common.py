@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -101,6 +104,14 @@ def map_columns(df: DataFrame, function: Callable[[dict[str, list]], dict[str, A
     return df.mapInArrow(batches, schema)
 
 
+def hand_back_memory() -> None:
+    """Return what a training run on the driver no longer needs to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sample_fraction(total: int, bound: int) -> float:
     """Share of ``total`` rows to take so that about ``bound`` of them are kept."""
     return 1.0 if total <= bound else bound / total

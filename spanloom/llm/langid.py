@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held_out, map_columns, sample_fraction
+from spanloom.llm.common import hand_back_memory, held_out, map_columns, sample_fraction
 
 DIMENSIONS = 8192
 CENTROIDS = 4
 #: Bound of the training sample: rows of each language, and of all languages together.
-ROWS_PER_LANGUAGE, ROWS_IN_ALL = 1500, 24_000
+ROWS_PER_LANGUAGE, ROWS_IN_ALL = 800, 16_000
 UNDETERMINED = "und"
 #: A text is rejected if its cosine is below this share of the cosine that 99 % of training texts reach.
 REJECT_SHARE = 0.5
@@ -107,8 +107,9 @@ def train(docs: DataFrame, *, centroids: int = CENTROIDS, rows_per_language: int
     rows: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     document_frequency = np.zeros(DIMENSIONS)
     languages = found["lang"].to_pylist()
-    for i in sorted(range(len(languages)), key=lambda i: (languages[i], found["grams"][i].as_py(), found["counts"][i].as_py())):
-        grams, counts = (found[name][i].values.to_numpy() for name in ("grams", "counts"))
+    sparse_rows = [tuple(found[name][i].values.to_numpy() for name in ("grams", "counts")) for i in range(len(languages))]
+    for i in sorted(range(len(languages)), key=lambda i: (languages[i], *(part.tobytes() for part in sparse_rows[i]))):
+        grams, counts = sparse_rows[i]
         document_frequency[grams] += 1
         rows.setdefault(languages[i], []).append((grams, counts))
     idf = (np.log((1 + len(languages)) / (1 + document_frequency)) + 1).astype("float32")
@@ -123,6 +124,8 @@ def train(docs: DataFrame, *, centroids: int = CENTROIDS, rows_per_language: int
         model.centroids = np.concatenate([model.centroids, means])
         model.languages += [lang] * len(means)
         model.least = np.concatenate([model.least, np.full(len(means), REJECT_SHARE * np.quantile(cosine, 0.01))])
+    del found, rows, sparse_rows
+    hand_back_memory()
     return model
 
 

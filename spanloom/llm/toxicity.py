@@ -13,6 +13,7 @@ import math
 import pickle
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -20,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import RecentCache, hash_sample, held_out, map_columns, sample_fraction
+from spanloom.llm.common import RecentCache, hand_back_memory, hash_sample, held_out, map_columns, sample_fraction
 
 #: Bounds of the training sample: toxic and clean documents, and characters of each of them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARACTERS = 1500, 2000, 20_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARACTERS = 800, 1200, 20_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
 
@@ -55,16 +56,26 @@ def features_of(word: str) -> list[int]:
 
 def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_gain: int = 2, noise: float = 0.02) -> set[str]:
     """Cues that clean documents hardly have and that, chosen in turn, each explain most of the toxic documents left."""
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for cue in {cue for word in words for cue in cues_of(word)}:
-            where[cue].add(i)
-    against: dict[str, int] = defaultdict(int)
+    numbers: dict[str, int] = {}
+    for words in toxic:
+        for word in words:
+            for cue in cues_of(word):
+                numbers.setdefault(cue, len(numbers))
+    present = [np.array(sorted({numbers[cue] for word in words for cue in cues_of(word)}), "int32") for words in toxic]
+    times, against = np.zeros(len(numbers), "int32"), np.zeros(len(numbers), "int32")
+    for cues in present:
+        times[cues] += 1
     for words in clean:
-        for cue in {cue for word in words for cue in cues_of(word)} & where.keys():
-            against[cue] += 1
-    open_cues = {cue: docs for cue, docs in where.items() if len(docs) >= least_gain and against[cue] <= noise * len(docs)}
-    chosen, left = set(), set(range(len(toxic)))
+        against[list({numbers[cue] for word in words for cue in cues_of(word) if cue in numbers})] += 1
+    good = (times >= least_gain) & (against <= noise * times)
+    where: dict[int, set[int]] = defaultdict(set)
+    for i, cues in enumerate(present):
+        for cue in cues[good[cues]].tolist():
+            where[cue].add(i)
+    names = {number: cue for cue, number in numbers.items() if good[number]}
+    docs_of = {names[number]: docs for number, docs in where.items()}
+    never = {names[number] for number in where if not against[number]}
+    open_cues, chosen, left = dict(docs_of), set(), set(range(len(toxic)))
     while open_cues:
         gains = {cue: len(docs & left) for cue, docs in open_cues.items()}
         open_cues = {cue: open_cues[cue] for cue, gain in gains.items() if gain >= least_gain}
@@ -75,10 +86,10 @@ def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_gain: int =
         left -= open_cues.pop(best)
     # the greedy choice stops once all is explained; other cues as good as those count as well, but of
     # beginnings that stand for the same documents only the longest
-    usual = np.median([len(where[cue]) for cue in chosen]) if chosen else 0
-    for cue in sorted((cue for cue, docs in where.items() if chosen and len(docs) >= max(least_gain, 0.2 * usual) and not against[cue]), key=lambda cue: (-len(cue), cue)):
+    usual = np.median([len(docs_of[cue]) for cue in chosen]) if chosen else 0
+    for cue in sorted((cue for cue in never if chosen and len(docs_of[cue]) >= max(least_gain, 0.2 * usual)), key=lambda cue: (-len(cue), cue)):
         stem = cue.rstrip("~")
-        if not any(other.startswith(stem) and len(where[cue]) <= 1.1 * len(where[other]) for other in chosen):
+        if not any(other.startswith(stem) and len(docs_of[cue]) <= 1.1 * len(docs_of[other]) for other in chosen):
             chosen.add(cue)
     return chosen
 
@@ -149,12 +160,16 @@ def fit_field(sequences: list[tuple[list[str], list[int]]], rounds: int = 30, ra
     if not any(any(labels) for _, labels in segments):
         return model
     shape = (_SEGMENT, len(segments))
-    word, gold, live = np.zeros(shape, "int64"), np.zeros(shape), np.zeros(shape, bool)
+    word, gold, live = np.zeros(shape, "int32"), np.zeros(shape, "float32"), np.zeros(shape, bool)
     for j, (ids, labels) in enumerate(segments):
         word[: len(ids), j], gold[: len(ids), j], live[: len(ids), j] = ids, labels, True
-    listed = [features_of(w) for w in kinds]
-    owner = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    used, slot = np.unique(np.concatenate([np.asarray(x) for x in listed]), return_inverse=True)
+    listed, counts = array("i"), array("i")
+    for w in kinds:
+        found = features_of(w)
+        listed.extend(found)
+        counts.append(len(found))
+    owner = np.repeat(np.arange(len(kinds), dtype="int32"), np.asarray(counts))
+    used, slot = np.unique(np.asarray(listed), return_inverse=True)
     # parameters: features, bias, start, transitions 0->1, 1->0, 1->1
     theta = np.zeros(len(used) + 5)
     theta[-5] = -3.0
@@ -205,14 +220,19 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, c
     chosen = parts[0].unionByName(parts[1])  # two numbers for each row of a bounded sample
     sampled = docs.select("doc_id", "text").filter(F.length("text") <= train_characters).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     found = sorted({(row["toxic"], row["text"]) for row in sampled.collect()})
-    toxic, clean = ([[normal(t) for t in tokens_of(text)] for value, text in found if value == kind] for kind in (1, 0))
+    one: dict[str, str] = {}  # one object for each word
+    toxic, clean = ([[one.setdefault(w := normal(t), w) for t in tokens_of(text)] for value, text in found if value == kind] for kind in (1, 0))
+    del found
     cues = choose_cues([set(words) - {""} for words in toxic], [set(words) - {""} for words in clean])
     known: dict[str, int] = {}
     for words in toxic:
         for word in words:
             if word not in known:
                 known[word] = int(bool(word) and not cues.isdisjoint(cues_of(word)))
-    return fit_field([(words, [known[w] for w in words]) for words in toxic] + [(words, [0] * len(words)) for words in clean])
+    model = fit_field([(words, [known[w] for w in words]) for words in toxic] + [(words, [0] * len(words)) for words in clean])
+    del toxic, clean, known, cues, one
+    hand_back_memory()
+    return model
 
 
 def toxic_spans(text: str, marginals: list[float]) -> list[tuple[int, int]]:
