@@ -54,7 +54,7 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(name.encode("utf-8", "replace")) % _BUCKETS for name in names]
 
 
-def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_gain: int = 2, noise: float = 0.02) -> set[str]:
+def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_support: int = 3, least_gain: int = 2, noise: float = 0.02) -> set[str]:
     """Cues that clean documents hardly have and that, chosen in turn, each explain most of the toxic documents left."""
     numbers: dict[str, int] = {}
     for words in toxic:
@@ -67,7 +67,7 @@ def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_gain: int =
         times[cues] += 1
     for words in clean:
         against[list({numbers[cue] for word in words for cue in cues_of(word) if cue in numbers})] += 1
-    good = (times >= least_gain) & (against <= noise * times)
+    good = (times >= least_support) & (against <= noise * times)
     where: dict[int, set[int]] = defaultdict(set)
     for i, cues in enumerate(present):
         for cue in cues[good[cues]].tolist():
@@ -87,7 +87,7 @@ def choose_cues(toxic: list[set[str]], clean: list[set[str]], least_gain: int =
     # the greedy choice stops once all is explained; other cues as good as those count as well, but of
     # beginnings that stand for the same documents only the longest
     usual = np.median([len(docs_of[cue]) for cue in chosen]) if chosen else 0
-    for cue in sorted((cue for cue in never if chosen and len(docs_of[cue]) >= max(least_gain, 0.2 * usual)), key=lambda cue: (-len(cue), cue)):
+    for cue in sorted((cue for cue in never if chosen and len(docs_of[cue]) >= max(least_support, 0.2 * usual)), key=lambda cue: (-len(cue), cue)):
         stem = cue.rstrip("~")
         if not any(other.startswith(stem) and len(docs_of[cue]) <= 1.1 * len(docs_of[other]) for other in chosen):
             chosen.add(cue)
