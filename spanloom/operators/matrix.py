@@ -105,6 +105,27 @@ def union_colouring(characters: DataFrame, keys: list[str]) -> DataFrame:
     return run_lengths(best, keys).withColumn("category", category_at(F.col("level")))
 
 
+def union_levels(colourings: list[Column]) -> Column:
+    """[A6] Of arrays of levels by position, one for each colouring of one text: each position's highest level."""
+    best = colourings[0]
+    for other in colourings[1:]:
+        best = F.zip_with(best, other, lambda a, b: F.greatest(a, b))
+    return best
+
+
+def stretches(rows: DataFrame, keys: list[str], levels: str) -> DataFrame:
+    """[A6] Arrays of levels by position as stretches of one level: keys, ``start``, ``length``, ``level``; without a shuffle.
+
+    Each step names its arrays as columns, so that no lambda evaluates one anew for each position.
+    """
+    row = lambda start, level: F.struct(start.alias("start"), level.alias("level"))
+    placed = rows.select(*keys, F.size(levels).alias("n"), F.transform(levels, lambda x, i: row(i, x)).alias("at"), F.concat(F.array(F.lit(0)), levels).alias("before"))
+    starts = placed.select(*keys, "n", F.filter(F.zip_with("at", F.slice("before", 1, F.col("n")), lambda x, b: F.when(x["level"] != b, x)), lambda x: x.isNotNull()).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(row(F.col("n"), F.lit(0))))
+    runs = F.zip_with("starts", ends, lambda a, b: F.struct(a["start"].alias("start"), (b["start"] - a["start"]).alias("length"), a["level"].alias("level")))
+    return starts.filter("n > 0").select(*keys, runs.alias("runs")).select(*keys, F.inline("runs"))
+
+
 def dominant(green: Column, blue: Column) -> Column:
     """[A7] GREEN if there is any and no more BLUE; else BLUE if there is any; else BLACK."""
     return F.when((green > 0) & (green >= blue), "GREEN").when(blue > 0, "BLUE").otherwise("BLACK")

@@ -462,11 +462,11 @@ def hybrid_consensus(spark, sf_dir):
 # ---- colouring, statistics, comparison --------------------------------------------------------
 
 
-def _spans(spark, sf_dir) -> DataFrame:
-    """Up to 40 characters of each document, coloured by each of three rules."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.length("text"), F.lit(40)) - 1)).alias("pos"))
-    level = lambda k: F.when((F.col("pos") + F.col("doc_id")) % (5 + k) == 0, 3).when((F.col("pos") + k) % 3 == 0, 2).otherwise(1)
-    return docs.select("doc_id", "pos", F.explode(F.array(*(level(k) for k in range(3)))).alias("level"))
+def _levels(spark, sf_dir) -> DataFrame:
+    """Every character of each document, coloured by each of three rules: its highest level, as an array by position."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", F.sequence(F.lit(0), F.length("text") - 1).alias("at"))
+    level = lambda k: lambda pos: F.when((pos + F.col("doc_id")) % (5 + k) == 0, 3).when((pos + k) % 3 == 0, 2).otherwise(1)
+    return docs.select("doc_id", matrix.union_levels([F.transform("at", level(k)) for k in range(3)]).alias("levels"))
 
 
 _LEVELS = "lv AS MATERIALIZED (SELECT doc_id, pos, max(CASE WHEN (pos + doc_id) % (5 + k) = 0 THEN 3 WHEN (pos + k) % 3 = 0 THEN 2 ELSE 1 END) AS level FROM (SELECT doc_id, unnest(range(0, least(length(text), 40))) AS pos FROM documents), range(0, 3) r(k) GROUP BY doc_id, pos)"
@@ -474,13 +474,14 @@ _LEVELS = "lv AS MATERIALIZED (SELECT doc_id, pos, max(CASE WHEN (pos + doc_id)
 
 @query(f"""WITH {_LEVELS} SELECT doc_id, CASE level WHEN 3 THEN 'GREEN' WHEN 2 THEN 'BLUE' ELSE 'BLACK' END AS category, CAST(min(pos) AS BIGINT) AS start, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, level ORDER BY pos) AS i FROM lv) GROUP BY doc_id, level, i""")
 def union_coloring(spark, sf_dir):
-    return matrix.union_colouring(_spans(spark, sf_dir), ["doc_id"]).select("doc_id", "category", long("start").alias("start"), "length")
+    rows = matrix.stretches(_levels(spark, sf_dir), ["doc_id"], "levels")
+    return rows.select("doc_id", matrix.category_at(F.col("level")).alias("category"), long("start").alias("start"), long("length").alias("length"))
 
 
 @query(f"""WITH {_LEVELS} SELECT doc_id, CASE WHEN g > 0 AND g >= b THEN 'GREEN' WHEN b > 0 THEN 'BLUE' ELSE 'BLACK' END AS category FROM (SELECT doc_id, count(*) FILTER (WHERE level = 3) AS g, count(*) FILTER (WHERE level = 2) AS b FROM lv GROUP BY doc_id)""")
 def dominant_category(spark, sf_dir):
-    best = _spans(spark, sf_dir).groupBy("doc_id", "pos").agg(F.max("level").alias("level"))
-    return best.groupBy("doc_id").agg(matrix.dominant(F.count_if(F.col("level") == 3), F.count_if(F.col("level") == 2)).alias("category"))
+    count = lambda level: F.size(F.filter("levels", lambda x: x == level))
+    return _levels(spark, sf_dir).select("doc_id", matrix.dominant(count(3), count(2)).alias("category"))
 
 
 @query("""SELECT lang, count(*) AS items, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum(k) AS BIGINT) AS k, round(sum(g) / (sum(g) + sum(b) + sum(k)), 6) AS g_share FROM (SELECT doc_id, lang, quality * n_chars AS g, toxic * n_chars AS b, n_chars AS k FROM documents JOIN labels USING (doc_id)) GROUP BY ROLLUP (lang)""")
