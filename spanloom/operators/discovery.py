@@ -8,6 +8,7 @@ tokens, aggregated before the shuffle, and never from all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.functions import vector as V
 from spanloom.options import DiscoveryOptions
+from spanloom.session import cut
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -126,9 +128,9 @@ def unit_vectors(units: DataFrame, encoder: Encoder = hashed_grams, dimensions:
     parts = units.select("uid", F.when(F.length("content") <= 300, F.array("content")).otherwise(F.when(F.size(T.sentences(F.col("content"))) > 0, T.sentences(F.col("content"))).otherwise(F.array("content"))).alias("parts"))
     rows = parts.select("uid", F.explode("parts").alias("piece"))
     vectors = rows.join(encoded(rows, "piece", encoder), "piece")
-    total = F.sum(F.greatest(F.length("piece"), F.lit(1)))
-    sums = [(F.sum(F.col("vec")[i].cast("double") * F.greatest(F.length("piece"), F.lit(1))) / total).alias(f"v{i}") for i in range(dimensions)]
-    return vectors.groupBy("uid").agg(*sums).select("uid", V.unit(F.array(*(f"v{i}" for i in range(dimensions)))).alias("vec"))
+    weighted = F.struct("piece", F.col("vec").alias("v"), F.greatest(F.length("piece"), F.lit(1)).cast("double").alias("w"))
+    lists = vectors.groupBy("uid").agg(F.sort_array(F.collect_list(weighted)).alias("pieces"))
+    return lists.select("uid", V.weighted_sum(F.col("pieces"), dimensions).alias("vec")).select("uid", V.unit(F.col("vec")).alias("vec"))
 
 
 def whole_cosines(pairs: DataFrame, down: DataFrame, up: DataFrame) -> DataFrame:
@@ -225,12 +227,27 @@ def decided(ranked: DataFrame, down: DataFrame, o: DiscoveryOptions = DiscoveryO
     return down.select(F.col("uid").alias("d")).join(grouped, "d", "left").select("d", status.alias("status"), ambiguous.alias("ambiguous"), "relations", "references")
 
 
-def discover(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions()) -> DataFrame:
-    """[P2] Channels, recall with contained items, fusion, folding and decisions of profiled units."""
+def sentence_vectors(units: DataFrame, encoder: Encoder = hashed_grams) -> DataFrame:
+    """[M3] Units with ``length`` and ``sents``, an array of their sentences' lengths and vectors; empty without sentences."""
+    rows = units.select("uid", F.explode(T.sentences(F.col("content"))).alias("piece"))
+    vectors = rows.join(encoded(rows, "piece", encoder), "piece").groupBy("uid").agg(F.collect_list(F.struct(F.length("piece").alias("n"), "vec")).alias("sents"))
+    none = F.array().cast("array<struct<n:int,vec:array<float>>>")
+    return units.select("uid", F.length("content").alias("length")).join(vectors, "uid", "left").withColumn("sents", F.coalesce("sents", none))
+
+
+def discover(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions(), encoder: Encoder = hashed_grams, dimensions: int = 256) -> DataFrame:
+    """[P2] Channels, recall with contained items, fine semantics, fusion, folding and decisions of profiled units.
+
+    ``encoder`` gives unit vectors of ``dimensions``. Semantics is scored for pairs that share a gram or token.
+    """
     graph = containment_graph(up, o.contain_share)
-    pairs = scored_pairs(down, up, o)
-    coarse = final_scores(pairs, down, up, graph, o)
+    lexical = cut(scored_pairs(down, up, o).drop("sem"))
+    sem = whole_cosines(lexical, cut(unit_vectors(down, encoder, dimensions)), cut(unit_vectors(up, encoder, dimensions)))
+    # classes count in the fine fusion only
+    coarse = cut(final_scores(lexical.join(sem, ["d", "u"]), down, up, graph, replace(o, class_penalty=1.0)))
     best = recalled(coarse, ["sem", "contain", "idf", "tfidf", "anchor"], o.recall_k).select("d", "u").unionByName(recalled(coarse, ["score"], o.coarse_k).select("d", "u")).distinct()
     inside = best.join(graph, F.col("u") == F.col("section")).select("d", F.col("item").alias("u"))
-    candidates = coarse.join(best.unionByName(inside).distinct(), ["d", "u"], "left_semi")
-    return decided(folded(candidates, graph, o), down, o)
+    candidates = cut(coarse.join(best.unionByName(inside).distinct(), ["d", "u"], "left_semi").drop("score", "mismatch", "kind"))
+    fine = asymmetric_semantics(candidates, sentence_vectors(down, encoder), sentence_vectors(up, encoder), o.cover_tau)
+    scored = final_scores(candidates.join(fine, ["d", "u"]), down, up, graph, o, "fine")
+    return decided(folded(cut(scored), graph, o), down, o)

@@ -38,12 +38,12 @@ def from_tables(rels: DataFrame, down: DataFrame, up: DataFrame, both_ways: bool
     return relations.sequenced(cut(rows), ["downstream_doc"])
 
 
-def from_content(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions(), latin: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def from_content(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions(), latin: bool = False, encoder: discovery.Encoder = discovery.hashed_grams, dimensions: int = 256) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """[X11, discover mode] Matrix rows found from content, the decisions, and the units of both sides."""
     # units are read by every channel: extract them once
     d = cut(discovery.profiled(identified(units.units(down, "downstream"), 1), latin))
     u = cut(discovery.profiled(identified(units.units(up, "upstream"), 2), latin))
-    decisions = cut(discovery.discover(d, u, o))
+    decisions = cut(discovery.discover(d, u, o, encoder, dimensions))
     rows = matrix.rows_of_decisions(decisions, d, u).withColumn("evidence", F.format_string("score=%.2f", "candidate_score"))
     return rows, decisions, d, u
 
@@ -51,7 +51,7 @@ def from_content(down: DataFrame, up: DataFrame, o: DiscoveryOptions = Discovery
 COLUMNS = ("downstream_doc", "seq", "downstream_id", "downstream_content", "upstream_doc", "upstream_ref", "upstream_content", "relation_source", "candidate_score", "evidence", "ambiguous")
 
 
-def backward(down: DataFrame, up: DataFrame, rels: DataFrame | None = None, mode: str = "table", o: DiscoveryOptions = DiscoveryOptions()) -> DataFrame:
+def backward(down: DataFrame, up: DataFrame, rels: DataFrame | None = None, mode: str = "table", o: DiscoveryOptions = DiscoveryOptions(), encoder: discovery.Encoder = discovery.hashed_grams, dimensions: int = 256) -> DataFrame:
     """[X1, X2] The backward matrix of all downstream documents in one of the three modes."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -59,7 +59,7 @@ def backward(down: DataFrame, up: DataFrame, rels: DataFrame | None = None, mode
         raise ValueError("table and hybrid mode need relations")
     if mode == "table":
         return from_tables(rels, down, up).select(*COLUMNS)
-    found, decisions, d, u = from_content(down, up, o)
+    found, decisions, d, u = from_content(down, up, o, encoder=encoder, dimensions=dimensions)
     if mode == "discover":
         return found.select(*COLUMNS)
     keys = ["downstream_doc", "core"]

@@ -12,7 +12,7 @@ from spanloom.operators import discovery
 from spanloom.options import DiscoveryOptions
 
 
-def decide_stream(units: DataFrame, up: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, o: DiscoveryOptions = DiscoveryOptions(), latin: bool = True) -> StreamingQuery:
+def decide_stream(units: DataFrame, up: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, o: DiscoveryOptions = DiscoveryOptions(), latin: bool = True, encoder: discovery.Encoder = discovery.hashed_grams, dimensions: int = 256) -> StreamingQuery:
     """Each micro-batch of units is profiled and decided; ``sink`` gets the decisions and the batch's number.
 
     ``up`` is profiled already. A batch that is tried again has the same number, so a sink that
@@ -20,7 +20,7 @@ def decide_stream(units: DataFrame, up: DataFrame, sink: Callable[[DataFrame, in
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        sink(discovery.discover(discovery.profiled(rows, latin), up, o), number)
+        sink(discovery.discover(discovery.profiled(rows, latin), up, o, encoder, dimensions), number)
 
     return units.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
