@@ -26,12 +26,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 #: A run of one class is one match, so the least length may stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 _HEX_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _BASE64_DIGEST = re.compile(r"(?:sha1-[A-Za-z0-9+/]{27}=|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==)")
-#: Words of one case, joined by case changes, signs of paths and names, or short numbers.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: The shape of words of one case, joined by case changes, signs of paths and names, or short numbers.
 _IDENTIFIER = re.compile(r"[/_+=-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}(?=[/_+-])|[A-Z]{1,2}(?=[/_+-]))[0-9]{0,4}[/_+=-]*|[0-9]{1,8}[/_+=-]+)*[0-9]{0,8}")
 
 #: Characters per token below which a run counts as random. Words give 3 to 6, random letters and digits below 2.
@@ -53,9 +54,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda span: (span[0], _RANK[span[2]]))
 
 
-def is_known(run: str) -> bool:
-    """Whether a run is a digest of a usual length and form, or an identifier made of words."""
-    return bool(_HEX_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _BASE64_DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run))
+def is_known(run: str, encoding: tiktoken.Encoding, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether a run is a digest of a usual length and form, or an identifier: its letters are words, which take few tokens."""
+    if _HEX_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _BASE64_DIGEST.fullmatch(run):
+        return True
+    if not _IDENTIFIER.fullmatch(run):
+        return False
+    words = _WORD.findall(run)
+    # in lower case, since a vocabulary has few pieces of capitals
+    tokens = sum(min(len(encoding.encode_ordinary(word)), len(encoding.encode_ordinary(word.lower()))) for word in words)
+    return sum(map(len, words)) >= max_ratio * tokens
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int, int, str]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
@@ -63,11 +71,9 @@ def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int,
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper()) or is_known(run):
-            continue
         if any(start < m.end() and m.start() < end for start, end, _ in taken):
             continue
-        if len(run) / len(encoding.encode_ordinary(run)) < max_ratio:
+        if len(run) / len(encoding.encode_ordinary(run)) < max_ratio and not is_known(run, encoding, max_ratio):
             found.append((*m.span(), "random"))
     return found
 
