@@ -11,14 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 from itertools import chain
 
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import RecentCache, map_columns, spaced_chunks
+from spanloom.llm.common import RecentCache, map_columns, resident, spaced_chunks
 
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
 
@@ -114,11 +113,6 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def _bpe(model: bytes, pattern: str) -> ByteBPE:
-    return ByteBPE(model, pattern)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids: bool = True) -> DataFrame:
     """Encode and decode the whole text of every row, without any shuffle.
 
@@ -127,11 +121,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids
     A null text counts as empty: no tokens. Ids may be null or repeated; each row gives one row.
     Other columns are left out, whatever their names. The model (under 1.5 MB) is broadcast.
     """
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(serialise_model(read_ranks(vocabulary)))
+    serialised = serialise_model(read_ranks(vocabulary))
+    model, name = docs.sparkSession.sparkContext.broadcast(serialised), ("bpe", hashlib.sha256(serialised).hexdigest(), pattern)
 
     def encode(columns: dict[str, list]) -> dict[str, list]:
-        bpe = _bpe(model.value, pattern)
+        bpe = resident(name, lambda: ByteBPE(model.value, pattern))
         ids = [bpe.encode(text) if text else [] for text in columns["text"]]
         return {
             "doc_id": columns["doc_id"],

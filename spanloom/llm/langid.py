@@ -8,6 +8,7 @@ texts were is rejected.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hand_back_memory, held_out, map_columns, sample_fraction
+from spanloom.llm.common import hand_back_memory, held_out, map_columns, release_memory, resident, sample_fraction, small_batches
 
 DIMENSIONS = 8192
 CENTROIDS = 4
@@ -129,6 +130,12 @@ def train(docs: DataFrame, *, centroids: int = CENTROIDS, rows_per_language: int
     return model
 
 
+def _shared(docs: DataFrame, model: LanguageModel) -> tuple:
+    """The model as a broadcast value, and a name for it."""
+    data = pickle.dumps(model)
+    return docs.sparkSession.sparkContext.broadcast(data), ("languages", hashlib.sha256(data).hexdigest())
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Predict each row's language from its whole text alone, without a shuffle.
 
@@ -138,10 +145,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     are left out. Ties go to the first language in order. The model (under 4 MB for a few dozen
     languages) is broadcast; its size is bounded by the training sample.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared, name = _shared(docs, model)
 
     def predict(columns: dict[str, list]) -> dict[str, list]:
-        languages, scores, rejected = pickle.loads(shared.value).predict(columns["text"])
+        languages, scores, rejected = resident(name, lambda: pickle.loads(shared.value)).predict(columns["text"])
         return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "lang_pred": languages, "score": scores, "rejected": rejected}
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -149,15 +156,18 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text the model does not reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    """The rows of ``docs``, all columns unchanged, whose text the model does not reject.
+
+    A null text, or one without a letter, goes. Rows of null or repeated ids are judged like others,
+    each by itself; an empty table stays empty.
+    """
+    shared, name = _shared(docs, model)
 
     def keep(batches):
-        found = pickle.loads(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                _, _, rejected = found.predict(part.column("text").to_pylist())
-                yield part.filter(np.logical_not(rejected).tolist())
+        found = resident(name, lambda: pickle.loads(shared.value))
+        for part in small_batches(batches):
+            _, _, rejected = found.predict(part.column("text").to_pylist())
+            yield part.filter(np.logical_not(rejected).tolist())
+        release_memory()
 
     return docs.mapInArrow(keep, docs.schema)

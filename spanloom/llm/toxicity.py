@@ -9,6 +9,7 @@ lengths, and of the transitions, from these tokens. Forward-backward gives each
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import RecentCache, hand_back_memory, hash_sample, held_out, map_columns, sample_fraction
+from spanloom.llm.common import RecentCache, hand_back_memory, hash_sample, held_out, map_columns, release_memory, resident, sample_fraction, small_batches
 
 #: Bounds of the training sample: toxic and clean documents, and characters of each of them.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARACTERS = 800, 1200, 20_000
@@ -246,6 +247,12 @@ def toxic_spans(text: str, marginals: list[float]) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(docs: DataFrame, model: ToxicityModel) -> tuple:
+    """The model as a broadcast value, and a name for it."""
+    data = pickle.dumps(model)
+    return docs.sparkSession.sparkContext.broadcast(data), ("toxicity", hashlib.sha256(data).hexdigest())
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """Score each row's whole text, without a shuffle.
 
@@ -254,16 +261,14 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     scores 0. Each row gives a row, whether ids are null or repeated; other columns are left out. The
     model (about 1 MB, of fixed size) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    state: list[ToxicityModel] = []
+    shared, name = _shared(docs, model)
 
     def score(columns: dict[str, list]) -> dict[str, list]:
-        if not state:
-            state.append(pickle.loads(shared.value))
+        found = resident(name, lambda: pickle.loads(shared.value))
         scores, spans = [], []
         for text in columns["text"]:
-            marginals = state[0].marginals(tokens_of(text)) if text else []
-            scores.append(state[0].score(marginals))
+            marginals = found.marginals(tokens_of(text)) if text else []
+            scores.append(found.score(marginals))
             spans.append(",".join(f"{a}:{b}" for a, b in toxic_spans(text, marginals)) if max(marginals, default=0) >= SPAN_MARGINAL else "")
         return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "score": scores, "predicted": [int(s >= threshold) for s in scores], "spans": spans}
 
@@ -272,13 +277,17 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, threshold: float =
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that score below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    """The rows of ``docs``, all columns unchanged, that score below ``threshold``.
+
+    A null or empty text scores 0 and stays. Rows of null or repeated ids are judged like others, each
+    by itself; an empty table stays empty.
+    """
+    shared, name = _shared(docs, model)
 
     def keep(batches):
-        found = pickle.loads(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter([not text or found.score(found.marginals(tokens_of(text))) < threshold for text in texts])
+        found = resident(name, lambda: pickle.loads(shared.value))
+        for part in small_batches(batches):
+            yield part.filter([not text or found.score(found.marginals(tokens_of(text))) < threshold for text in part.column("text").to_pylist()])
+        release_memory()
 
     return docs.mapInArrow(keep, docs.schema)
