@@ -10,14 +10,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import map_columns
+from spanloom.llm.common import map_columns, release_memory, resident, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
@@ -32,14 +33,24 @@ _HEX_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _BASE64_DIGEST = re.compile(r"(?:sha1-[A-Za-z0-9+/]{27}=|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: The shape of words of one case, joined by case changes, signs of paths and names, or short numbers.
-_IDENTIFIER = re.compile(r"[/_+=-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}(?=[/_+-])|[A-Z]{1,2}(?=[/_+-]))[0-9]{0,4}[/_+=-]*|[0-9]{1,8}[/_+=-]+)*[0-9]{0,8}")
+#: The shape of an identifier: words of one case or with a capital, short words before a sign, short numbers, and
+#: signs of paths and names. Each part is as long as it can be and never tried anew, so the time is linear.
+_IDENTIFIER = re.compile(
+    r"""(?:
+        [/_+=-]++
+      | (?:[A-Z]{3,}+|[A-Z])?+[a-z]{3,}+
+      | [A-Z]{3,}+(?:[a-z]{1,2}+(?=[/_+-])|(?![a-z]))
+      | (?:[a-z]{1,2}+|[A-Z]{1,2}+)(?=[/_+-])
+      | (?<=[A-Za-z])(?:[0-9]{1,4}+(?=[A-Za-z])|[0-9]{1,12}+(?![0-9A-Za-z]))
+      | (?<![A-Za-z0-9])[0-9]{1,8}+(?![0-9A-Za-z])
+    )*+""",
+    re.VERBOSE,
+)
 
 #: Characters per token below which a run counts as random. Words give 3 to 6, random letters and digits below 2.
 MAX_RATIO = 2.2
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, ranks.splitlines()))}
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -67,11 +78,13 @@ def is_known(run: str, encoding: tiktoken.Encoding, max_ratio: float = MAX_RATIO
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int, int, str]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    """Runs of low token efficiency that no span of ``taken`` overlaps."""
+    """Runs of low token efficiency that no span of ``taken``, which is sorted, overlaps."""
+    starts, ends = [start for start, _, _ in taken], list(accumulate((end for _, end, _ in taken), max))
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if any(start < m.end() and m.start() < end for start, end, _ in taken):
+        before = bisect_right(starts, m.end() - 1)  # so many start before the run ends
+        if before and ends[before - 1] > m.start():
             continue
         if len(run) / len(encoding.encode_ordinary(run)) < max_ratio and not is_known(run, encoding, max_ratio):
             found.append((*m.span(), "random"))
@@ -92,6 +105,13 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def _shared(docs: DataFrame, ranks_path: str, pattern: str) -> tuple:
+    """The vocabulary (under 1 MB) as a broadcast value, and a name for what is made of it."""
+    with open(ranks_path, "rb") as file:
+        ranks = file.read()
+    return docs.sparkSession.sparkContext.broadcast(ranks), ("secrets", hashlib.sha256(ranks).hexdigest(), pattern)
+
+
 def scan_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio: float = MAX_RATIO, with_text: bool = False) -> DataFrame:
     """Find secrets in every whole text, without a shuffle.
 
@@ -100,11 +120,10 @@ def scan_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio:
     counts as empty and its redacted text stays null. Each row gives a row, whether ids are null or
     repeated; other columns are left out. The vocabulary (under 1 MB) is broadcast.
     """
-    with open(ranks_path, "rb") as file:
-        ranks = docs.sparkSession.sparkContext.broadcast(file.read())
+    ranks, label = _shared(docs, ranks_path, pattern)
 
     def scan(columns: dict[str, list]) -> dict[str, list]:
-        encoding = _encoding(ranks.value, pattern)
+        encoding = resident(label, lambda: _encoding(ranks.value, pattern))
         out: dict[str, list] = {name: [] for name in (*(f"n_{kind}" for kind in KINDS), "base_sha256", "spans", "redacted_text")}
         for text in columns["text"]:
             base = base_spans(text) if text else []
@@ -123,14 +142,14 @@ def scan_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio:
 def redact_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_ratio: float = MAX_RATIO) -> DataFrame:
     """The rows of ``docs`` with secrets in ``text`` replaced by marks and ``n_chars`` set to the new length.
 
-    Other columns stay as they are; a null text stays null and keeps its ``n_chars``.
+    Other columns stay as they are; a null text stays null and keeps its ``n_chars``. Each row gives a
+    row, whether ids are null or repeated; an empty table stays empty.
     """
-    with open(ranks_path, "rb") as file:
-        ranks = docs.sparkSession.sparkContext.broadcast(file.read())
+    ranks, label = _shared(docs, ranks_path, pattern)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks.value, pattern)
-        for batch in batches:
+        encoding = resident(label, lambda: _encoding(ranks.value, pattern))
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             for i, text in enumerate(texts):
                 if text:
@@ -140,5 +159,6 @@ def redact_documents(docs: DataFrame, ranks_path: str, pattern: str, *, max_rati
             changed = {"text": texts, "n_chars": lengths}
             columns = [pa.array(changed[f.name], f.type) if f.name in changed else batch.column(f.name) for f in batch.schema]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        release_memory()
 
     return docs.mapInArrow(redact, docs.schema)
