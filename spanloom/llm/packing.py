@@ -9,6 +9,7 @@ the rule keeps open.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from array import array
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from spanloom.llm.bpe import BYTE_TO_CHAR
-from spanloom.llm.common import map_columns, materialise
+from spanloom.llm.common import map_columns, materialise, release_memory, resident
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -71,11 +72,14 @@ def place_pieces(lengths: np.ndarray, capacity: int = CAPACITY, last_share: floa
 
 @dataclass
 class Vocabulary:
-    """A byte-level tokenizer definition, its tokens' ranks, and the ids that ranks alone don't explain."""
+    """A byte-level tokenizer definition, its tokens' ranks, the ids that ranks alone don't explain, its added
+    tokens, and whether nothing else in the definition changes a text's ids."""
 
     definition: str
     ranks: dict[bytes, int]
     doubtful: frozenset[int]
+    added: tuple[str, ...] = ()
+    plain: bool = True
 
 
 def _merged_by_rank(token: bytes, ranks: dict[bytes, int], pairs: set[tuple[bytes, bytes]]) -> bool:
@@ -101,7 +105,11 @@ def read_vocabulary(path: str) -> Vocabulary:
     """
     with open(path, encoding="utf-8") as file:
         definition = file.read()
-    model = json.loads(definition)["model"]
+    whole = json.loads(definition)
+    model, before = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True) and not any(
+        [*(whole.get(part) for part in ("normalizer", "truncation", "padding")), *(model.get(part) for part in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))]
+    )
     to_byte = {c: b for b, c in enumerate(BYTE_TO_CHAR)}
     as_bytes = lambda piece: bytes(map(to_byte.__getitem__, piece))
     ids = {as_bytes(piece): i for piece, i in model["vocab"].items() if to_byte.keys() >= set(piece)}
@@ -110,36 +118,39 @@ def read_vocabulary(path: str) -> Vocabulary:
     pairs = set(merges)
     sound = in_order == sorted(in_order) and max(ids[bytes([b])] for b in range(256)) < in_order[0]
     doubtful = frozenset(i for token, i in ids.items() if not (sound and _merged_by_rank(token, ids, pairs)))
-    return Vocabulary(definition, ids, doubtful)
+    return Vocabulary(definition, ids, doubtful, tuple(token["content"] for token in whole.get("added_tokens") or ()), plain)
 
 
 class ExactTokenizer:
-    """The ids that the tokenizer of a definition gives, mostly found by ranks, which is several times faster."""
+    """The ids that the tokenizer of a definition gives, mostly found by ranks, which is several times faster.
+
+    Texts that hold an added token, special or not, go through the tokenizer itself.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.tokenizer = Tokenizer.from_str(vocabulary.definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added, self.plain = vocabulary.added, vocabulary.plain
         self.by_rank = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
         self.doubtful = vocabulary.doubtful
 
     def encode(self, text: str) -> list[int]:
-        ids = self.by_rank.encode_ordinary(text)
-        if self.doubtful and not self.doubtful.isdisjoint(ids):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return ids
+        if self.plain and not any(content in text for content in self.added):
+            ids = self.by_rank.encode_ordinary(text)
+            if not self.doubtful or self.doubtful.isdisjoint(ids):
+                return ids
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids and the closing separator, without a shuffle."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
-    state: list[ExactTokenizer] = []
+    known = read_vocabulary(tokenizer_path)
+    vocabulary, label = docs.sparkSession.sparkContext.broadcast(known), ("packing", hashlib.sha256(known.definition.encode()).hexdigest())
 
     def cut(columns: dict[str, list]) -> dict[str, list]:
-        if not state:
-            state.append(ExactTokenizer(vocabulary.value))
+        tokenizer = resident(label, lambda: ExactTokenizer(vocabulary.value))
         out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc_id, text in zip(columns["doc_id"], columns["text"], strict=True):
-            body = array("I", [*state[0].encode(text or ""), SEPARATOR_ID]).tobytes()
+            body = array("I", [*tokenizer.encode(text or ""), SEPARATOR_ID]).tobytes()
             total = len(body) // 4
             first = total % capacity or capacity
             for piece, start in enumerate([0, *range(first, total, capacity)]):
@@ -176,7 +187,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
         rows = pa.Table.from_batches(found).sort_by([(name, "ascending") for name in ("doc_id", "piece", "length", "ids_crc32")])
         sequence, offset = place_pieces(rows["length"].to_numpy(), capacity)
         rows = rows.append_column("sequence_id", pa.array((TaskContext.get().partitionId() << 40) + sequence))
-        yield from rows.append_column("offset", pa.array(offset)).to_batches()
+        yield from rows.append_column("offset", pa.array(offset)).to_batches(max_chunksize=10_000)
+        release_memory()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return pieces.repartition(shards).mapInArrow(pack, schema + ", sequence_id long, offset long")

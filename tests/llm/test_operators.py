@@ -127,6 +127,18 @@ def test_doubtful_vocabulary_falls_back(tmp_path):
     assert all(mine.encode(t) == theirs.encode(t).ids for t in ("abc", "ab c", "aabcbc", ""))
 
 
+def test_packing_knows_added_tokens(spark):
+    """Texts with the content of an added token get the ids that the tokenizer gives."""
+    path = queries.vocabulary("byte_bpe_50k.json")
+    mine, theirs = packing.ExactTokenizer(packing.read_vocabulary(path)), Tokenizer.from_file(path)
+    assert mine.added == ("<|endoftext|>",) and mine.plain
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|", " <|endoftext|>\n" * 50, "<|EndOfText|>"):
+        assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame([(1, "a <|endoftext|> b", "k", 3), (1, "a <|endoftext|> b", "k", 3), (None, None, None, None)], "doc_id long, text string, piece string, length long")
+    got = packing.pack_documents(rows, path, with_ids=True).collect()
+    assert sorted((r.length, list(r.ids)) for r in got) == sorted([(1, [0])] + [(5, theirs.encode("a <|endoftext|> b").ids + [0])] * 2) and sorted(r.offset for r in got) == [0, 5, 10]
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = ["\n".join(" ".join(rng.choices("red green blue one two three four five six".split(), k=9)) for _ in range(8)) for _ in range(12)] + ["", "x"]
