@@ -10,7 +10,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil
 
 from pyspark.sql import DataFrame
 
@@ -51,9 +54,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Least share of a template's words that must be aligned, and of the spanned words that must be the template's.
 MIN_COVERAGE, MIN_DENSITY = 0.8, 0.6
 
+#: Frequent words, which are taken last when a text is searched for a template's words.
+FREQUENT = frozenset("a above all and any be by following for from have in is may not of or other published so subject that the this to under use whom with work you".split())
+
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-#: Every template has one of these words; a text without any cannot be covered enough.
-_CUE = re.compile(r"licen[sc]e|permission is hereby|redistribution and use", re.IGNORECASE)
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,62 +100,114 @@ def patience(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple
     return out + tail[::-1]
 
 
-@lru_cache(maxsize=1)
-def _templates() -> list[tuple[str, list[str], frozenset[str]]]:
-    """License, words and distinct words of each template, longest first."""
-    listed = [(name, [w.lower() for w in _WORD.findall(text)]) for name, texts in TEMPLATES.items() for text in texts]
-    return sorted(((name, words, frozenset(words)) for name, words in listed), key=lambda t: (-len(t[1]), t[0]))
+@dataclass(frozen=True)
+class Template:
+    """A wording: its words and their counts, how many a notice must share, how long it can be, and words of which it has one.
+
+    A notice aligns at least ``need`` words, so it shares as many with the template, and they are no
+    less than ``MIN_DENSITY`` of it, so it has ``longest`` words at most. If it had none of ``cues``,
+    which stand more than ``len(words) - need`` times in the template, it would share too few.
+    """
+
+    name: str
+    words: tuple[str, ...]
+    counts: dict[str, int]
+    need: int
+    longest: int
+    cues: frozenset[str]
+
+
+@lru_cache(maxsize=8)
+def _templates(min_coverage: float) -> list[Template]:
+    """All wordings, longest first."""
+    out = []
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            words = tuple(w.lower() for w in _WORD.findall(text))
+            counts, need, cues = dict(Counter(words)), max(1, ceil(min_coverage * len(words) - 1e-9)), []
+            for word in sorted(counts, key=lambda w: (w in FREQUENT, -len(w), w)):
+                if sum(counts[w] for w in cues) <= len(words) - need:
+                    cues.append(word)
+            out.append(Template(name, words, counts, need, int(len(words) / MIN_DENSITY + 1e-9), frozenset(cues)))
+    return sorted(out, key=lambda t: (-len(t.words), t.name, t.words))
+
+
+def tight_stretches(words: list[str], template: Template, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Stretches of ``words[low:high]``, as begin and end, that share enough with a template and are tight.
+
+    Tight means that without its first or its last word a stretch would share one word less, as
+    multisets. Windows of the greatest length slide over the words, so only beginnings from which
+    enough can be shared are looked at.
+    """
+    counts, longest = template.counts, template.longest
+    have, shared, end = dict.fromkeys(counts, 0), 0, low
+    for begin in range(low, high):
+        while end < min(begin + longest, high):
+            if (word := words[end]) in have:
+                have[word] += 1
+                shared += have[word] <= counts[word]
+            end += 1
+        if (first := words[begin]) not in have:
+            continue
+        if shared >= template.need:
+            seen, n = {}, 0
+            for at in range(begin, end):
+                if (most := counts.get(word := words[at])) is None:
+                    continue
+                seen[word] = seen.get(word, 0) + 1
+                if seen[word] <= most:
+                    n += 1
+                    if n >= template.need:
+                        yield begin, at + 1
+                elif word == first:
+                    break
+        have[first] -= 1
+        shared -= have[first] < counts[first]
+
+
+@lru_cache(maxsize=4096)
+def _aligned(words: tuple[str, ...], template: tuple[str, ...]) -> tuple[int, int, int]:
+    """How many words are aligned, and the first and last of the stretch that are."""
+    pairs = patience(list(words), list(template))
+    return (len(pairs), pairs[0][0], pairs[-1][0]) if pairs else (0, 0, 0)
 
 
 def find_licenses(text: str, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, float]]:
     """License, span in code points and coverage of each notice, in order and without overlap.
 
-    Texts are searched around each cue, as far as a template reaches to either side. In each such
-    stretch the template that aligns best counts, a longer one before a shorter one.
+    Every tight stretch of the text that shares enough words with a template is aligned with it, so
+    no wording is missed for where it stands or how it is laid out. Of notices that overlap the best
+    counts: by aligned words times coverage, then the longer template, then the one that comes first.
     """
-    cues = [m.start() for m in _CUE.finditer(text)]
-    if not cues:
+    lowered = text.lower()
+    asked = [t for t in _templates(min_coverage) if any(cue in lowered for cue in t.cues)]
+    if not asked:
         return []
-    words = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
-    starts = [start for _, start, _ in words]
-    found: list[tuple[str, int, int, float]] = []
-    after = 0
-    for cue in cues:
-        at = bisect_left(starts, cue)
-        best: tuple[float, int, str, int, int, float] | None = None
-        for name, template, vocabulary in _templates():
-            reach = len(template) + len(template) // 2
-            low = max(after, at - reach)
-            window = [w for w, _, _ in words[low : at + reach + 1]]
-            if len(vocabulary & set(window)) < min_coverage * len(vocabulary) * 0.9:
-                continue
-            # cut to the densest stretch, else words far away spoil the anchors' uniqueness
-            for a, b in _stretches(window, template, at - low):
-                aligned = patience(window[a:b], template)
-                if not aligned:
-                    continue
-                first, last = a + aligned[0][0], a + aligned[-1][0]
-                coverage = len(aligned) / len(template)
-                if coverage >= min_coverage and len(aligned) >= MIN_DENSITY * (last - first + 1):
-                    option = (len(aligned) * coverage, len(template), name, low + first, low + last, coverage)
-                    best = max(best, option) if best else option
-        if best:
-            _, _, name, first, last, coverage = best
-            found.append((name, words[first][1], words[last][2], coverage))
-            after = last + 1
-    return found
-
-
-def _stretches(window: list[str], template: list[str], at: int) -> list[tuple[int, int]]:
-    """Parts of the window to align: the whole one, and those that would put the cue's word where the template has it."""
-    parts = {(0, len(window))}
-    slack = max(1, len(template) // 5)
-    cue = window[at] if at < len(window) else ""
-    for j, word in enumerate(template):
-        if word == cue:
-            parts.add((max(0, at - j - slack), min(len(window), at - j + len(template) + slack)))
-            parts.add((max(0, at - j), min(len(window), at - j + len(template))))
-    return sorted(parts)
+    spans = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
+    words = [word for word, _, _ in spans]
+    places: dict[str, list[int]] = {cue: [] for t in asked for cue in t.cues}
+    for i, word in enumerate(words):
+        if word in places:
+            places[word].append(i)
+    options = set()
+    for t in asked:
+        parts: list[list[int]] = []  # neighbourhoods of cues that a notice could lie in
+        for place in sorted(i for cue in t.cues for i in places[cue]):
+            low, high = max(0, place - t.longest + 1), min(len(words), place + t.longest)
+            if parts and low <= parts[-1][1]:
+                parts[-1][1] = high
+            else:
+                parts.append([low, high])
+        for begin, end in (stretch for part in parts for stretch in tight_stretches(words, t, *part)):
+            n, first, last = _aligned(tuple(words[begin:end]), t.words)
+            if n >= t.need and n >= MIN_DENSITY * (last - first + 1):
+                options.add((-n * n / len(t.words), -len(t.words), begin + first, begin + last, t.name, n / len(t.words)))
+    taken: list[tuple[int, int, str, float]] = []
+    for _, _, first, last, name, coverage in sorted(options):
+        at = bisect_left(taken, (first,))
+        if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+            taken.insert(at, (first, last, name, coverage))
+    return [(name, spans[first][1], spans[last][2], coverage) for first, last, name, coverage in taken]
 
 
 def scan_licenses(docs: DataFrame, *, min_coverage: float = MIN_COVERAGE) -> DataFrame:
