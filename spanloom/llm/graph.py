@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise
+from spanloom.llm.common import discard, materialise
 
 
 def _stars(edges: DataFrame, upward: bool) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, left: str, right: str, *, most_rounds
 
     last = None
     for _ in range(most_rounds):
-        current = materialise(_stars(_stars(current, True), False))
+        current, before = materialise(_stars(_stars(current, True), False)), current
+        discard(before)
         if (now := state(current)) == last or not now[0]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         last = now

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import map_columns, materialise
+from spanloom.llm.common import discard, map_columns, materialise
 from spanloom.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -92,11 +92,16 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> li
     return keys.astype("int64").tolist()
 
 
+def _place(doc_id: Column, text: Column) -> list[Column]:
+    """What tells a row with another text apart, and rows of one text unless they lack an id: the id and 128 hashed bits."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("id0"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, set size, digest, and for non-empty sets the signature's low bytes and band keys."""
+    """``doc_id``, the row's place, set size, digest, and for non-empty sets the signature's low bytes and band keys."""
 
     def sets(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": columns["doc_id"], "n_shingles": [], "digest": [], "signature": [], "bands": []}
+        out: dict[str, list] = {name: columns[name] for name in ("doc_id", "id0", "h1", "h2")} | {"n_shingles": [], "digest": [], "signature": [], "bands": []}
         for text in columns["text"]:
             elements = shingle_hashes(text)
             signature = super_minhash(elements) if len(elements) else None
@@ -106,7 +111,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
             out["bands"].append(None if signature is None else band_keys(signature))
         return out
 
-    return map_columns(docs.select("doc_id", "text"), sets, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
+    rows = docs.select("doc_id", *_place(F.col("doc_id"), F.col("text")), "text")
+    return map_columns(rows, sets, "doc_id long, id0 long, h1 long, h2 long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
 def _likely(n_a: np.ndarray, n_b: np.ndarray, same: np.ndarray, percent: int) -> np.ndarray:
@@ -133,25 +139,21 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A text of each wanted class: ``class``, ``text``. An id may be repeated, so the digest decides which text it is."""
-    named = docs.select("doc_id", "text").filter(F.length("text") > 0).withColumnsRenamed({"doc_id": "of"})
-    texts = classes.select("class", "doc_id", "digest").join(wanted, "class").join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("class", "digest", "text")
-
-    def own(columns: dict[str, list]) -> dict[str, list]:
-        good = [i for i, text in enumerate(columns["text"]) if xxhash.xxh3_128_digest(shingle_hashes(text).tobytes()) == columns["digest"][i]]
-        return {"class": [columns["class"][i] for i in good], "text": [columns["text"][i] for i in good]}
+    """A text of each wanted class: ``class``, ``text``. Texts are dealt out once, by the places of their rows, so copies don't meet."""
+    places = ["id0", "h1", "h2"]
+    named = docs.filter(F.length("text") > 0).select(*_place(F.col("doc_id"), F.col("text")), "text")
+    found = classes.select("class", "place.*").join(wanted, "class").join(named, places)
+    return found.dropDuplicates([*places, "class"]).select("class", "text")
 
-    return map_columns(texts, own, "class long, text string").dropDuplicates(["class"])
 
-
-def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough; texts are brought only to classes that are in a pair.
 
     A join on a class in very many pairs can be split, so such a class is no hot spot.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = materialise(class_texts(wanted, classes, docs))
-    side = lambda s: texts.select(F.col("class").alias(s), F.col("text").alias(f"t_{s}"))
+    chosen = materialise(texts.join(wanted, "class"))
+    side = lambda s: chosen.select(F.col("class").alias(s), F.col("text").alias(f"t_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     seen: dict[int, np.ndarray] = {}
 
@@ -169,7 +171,9 @@ def confirmed_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, perce
                 out["b"].append(b)
         return out
 
-    return map_columns(both.select("a", "b", "t_a", "t_b"), check, "a long, b long")
+    found = materialise(map_columns(both.select("a", "b", "t_a", "t_b"), check, "a long, b long"))
+    discard(chosen)
+    return found
 
 
 def star_centres(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,7 +245,9 @@ def compared(members: DataFrame, percent: int) -> DataFrame:
     minors = F.sequence(F.lit(0), F.col("minor_blocks") - 1)
     others = F.when(F.col("is_major"), minors).otherwise(F.concat(minors, F.sequence(-F.col("major_blocks"), F.lit(-1))))
     met = dealt.select("key", own.cast("int").alias("own"), row, F.explode(others).alias("other"))
-    groups = met.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("member").alias("members"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
+    # without this, rows would stay as the join on the key left them: all blocks of a key in one task
+    groups = met.repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
 
     def compare(columns: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": []}
@@ -282,7 +288,8 @@ def residual_pairs(held: DataFrame, keys: DataFrame | None, classes: DataFrame,
     if keys is not None:
         keyed = keyed.unionByName(keys)
     member = held.select(F.col("b").alias("class"), "component").distinct()
-    return compared(materialise(keyed.join(member, "class").join(classes.select("class", "n_shingles", "signature"), "class")), percent)
+    members = materialise(keyed.join(member, "class").join(classes.select("class", "n_shingles", "signature"), "class"))
+    return compared(members, percent)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -297,31 +304,36 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """
     sets = materialise(document_sets(docs))
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("id0", "h1", "h2")).alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()))
     buckets = classes.select(F.explode("bands").alias("key"), "class", "n_shingles")
     led = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "class")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("least.class").alias("a"))
     stars = materialise(buckets.join(led, "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
+    texts = materialise(class_texts(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, docs))
     likely = materialise(likely_pairs(stars, classes, percent))
-    links = materialise(confirmed_pairs(likely, classes, docs, percent))
+    links = confirmed_pairs(likely, texts, percent)
     components = materialise(connected_components(links, "a", "b"))
     held = materialise(mixed_stars(stars, components))
+    discard(likely)
     large = materialise(held.filter(F.col("members") > SMALL_STAR).select("a", "b"))
-    keys = None
+    keys = rests = None
     if not large.isEmpty():
-        rests = star_members(large, materialise(class_texts(large.select(F.col("b").alias("class")).distinct(), classes, docs)), percent)
+        rests = star_members(large, texts.join(large.select(F.col("b").alias("class")).distinct(), "class"), percent)
         # a second star from the member closest to the centre links most of what is similar
         closest = rests.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("closest"))
         second = rests.select("a", "b").join(closest, "a").filter("b <> closest").select(F.least("b", "closest").alias("a"), F.greatest("b", "closest").alias("b")).distinct()
-        links = materialise(links.unionByName(confirmed_pairs(materialise(likely_pairs(second, classes, percent)), classes, docs, percent)))
+        second = materialise(likely_pairs(second, classes, percent))
+        links = links.unionByName(confirmed_pairs(second, texts, percent))
+        older = (components, held, second)
         components = materialise(connected_components(links, "a", "b"))
         held = materialise(mixed_stars(stars, components))
+        discard(*older)
         keys = star_keys(rests.join(held.select("a", "b"), ["a", "b"], "left_semi"))
     more = materialise(residual_pairs(held, keys, classes, percent))
     if not more.isEmpty():
-        links = links.unionByName(confirmed_pairs(more, classes, docs, percent))
-        components = materialise(connected_components(links, "a", "b"))
+        components = materialise(connected_components(links.unionByName(confirmed_pairs(more, texts, percent)), "a", "b"))
+    discard(stars, texts, held, large, rests, more)
     placed = classes.select("class", "digest", "doc_id").join(components, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = placed.join(least, "component").select("digest", "component_id")
@@ -335,10 +347,10 @@ def keep_representatives(docs: DataFrame, *, percent: int = 80) -> DataFrame:
 
     That is the row of the group's least ``doc_id``; rows without an id come last, and of several rows
     of that id the first as numbered when the table is written here. Rows whose text has no words
-    are linked with nothing and stay.
+    are linked with nothing and stay. An empty table stays empty.
     """
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), percent=percent).select(F.col("doc_id").alias("__row"), "component_id")
-    placed = numbered.select("__row", "doc_id").join(groups, "__row")
-    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
-    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    whole = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept")))
+    groups = near_duplicates(whole.select(F.col("row").alias("doc_id"), "kept.text"), percent=percent).select(F.col("doc_id").alias("row"), "component_id")
+    placed = whole.select("row", F.col("kept.doc_id").alias("id")).join(groups, "row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    return whole.select("row", "kept").join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("kept.*")
