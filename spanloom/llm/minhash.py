@@ -138,6 +138,11 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """Distinct classes of pairs: ``class``."""
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+
 def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """A text of each wanted class: ``class``, ``text``. Texts are dealt out once, by the places of their rows, so copies don't meet."""
     places = ["id0", "h1", "h2"]
@@ -151,8 +156,7 @@ def confirmed_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFra
 
     A join on a class in very many pairs can be split, so such a class is no hot spot.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    chosen = materialise(texts.join(wanted, "class"))
+    chosen = materialise(texts.join(ends(pairs), "class"))
     side = lambda s: chosen.select(F.col("class").alias(s), F.col("text").alias(f"t_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     seen: dict[int, np.ndarray] = {}
@@ -239,6 +243,7 @@ def compared(members: DataFrame, percent: int) -> DataFrame:
     keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     plan = keys.select("key", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n")).alias("minor_blocks"))
+    plan = materialise(plan)  # as a table, the join with it can be split where a key has very many members
     row = F.struct("class", "component", "n_shingles", "inside", "signature").alias("member")
     dealt = members.join(plan, "key").withColumns({"is_major": F.col("component") == F.col("major"), "deal": F.pmod(F.xxhash64("class"), F.lit(1 << 30))})
     own = F.when(F.col("is_major"), -1 - F.pmod("deal", F.col("major_blocks"))).otherwise(F.pmod("deal", F.col("minor_blocks")))
@@ -310,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     buckets = classes.select(F.explode("bands").alias("key"), "class", "n_shingles")
     led = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "class")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("least.class").alias("a"))
     stars = materialise(buckets.join(led, "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
-    texts = materialise(class_texts(stars.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, docs))
+    texts = materialise(class_texts(ends(stars), classes, docs))
     likely = materialise(likely_pairs(stars, classes, percent))
     links = confirmed_pairs(likely, texts, percent)
     components = materialise(connected_components(links, "a", "b"))
