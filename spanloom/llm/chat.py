@@ -24,7 +24,6 @@ ESCAPE_PATTERN = rf"([<\[])(\\*{_CONTROL})"
 UNESCAPE_PATTERN = rf"([<\[])\\(\\*{_CONTROL})"
 
 _TURN = "struct<turn:bigint,role:string,text:string>"
-_RUN = "struct<role:string,texts:array<string>>"
 
 
 def escaped(text: Column) -> Column:
@@ -43,15 +42,11 @@ def _mark(role: Column) -> Column:
 
 
 def merged_runs(turns: Column) -> Column:
-    """Adjacent turns of the same role as one run of several texts."""
-
-    def add(runs: Column, turn: Column) -> Column:
-        last = F.element_at(runs, -1)
-        alone = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        return F.when((F.size(runs) > 0) & F.get(runs, F.size(runs) - 1)["role"].eqNullSafe(turn["role"]), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(alone)))
-
-    return F.aggregate(turns, F.array().cast(f"array<{_RUN}>"), add)
+    """Adjacent turns of the same role as one run of several texts: the places where a role begins part the array into slices."""
+    places = F.transform(turns, lambda turn, i: i)
+    begins = F.filter(places, lambda i: (i == 0) | ~turns[i]["role"].eqNullSafe(turns[F.greatest(i - 1, F.lit(0))]["role"]))
+    ends = F.concat(F.slice(begins, 2, F.size(turns)), F.array(F.size(turns)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(turns[a]["role"].alias("role"), F.transform(F.slice(turns, a + 1, b - a), lambda turn: turn["text"]).alias("texts")))
 
 
 def run_segments(run: Column) -> Column:
@@ -80,7 +75,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """
     turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn.cast(_TURN))).alias("turns"))
-    segments = turns.select("conv_id", F.flatten(F.transform(merged_runs(F.col("turns")), run_segments)).alias("segments"))
+    runs = turns.select("conv_id", merged_runs(F.col("turns")).alias("runs"))
+    segments = runs.select("conv_id", F.flatten(F.transform("runs", run_segments)).alias("segments"))
     return segments.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
