@@ -4,27 +4,32 @@ A vector is coded as a sum of codewords, one of each of several full-dimensional
 beam search. A query's inner products with all codewords form a lookup table; a candidate's
 approximate score is a sum of table entries. The best candidates are ranked again on the original
 vectors in double precision. Codebooks are fitted on a bounded sample, every vector is indexed, and
-every query meets every index row, block by block.
+every query meets every index row, in tasks that each hold a strip of codes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hash_sample, map_columns, materialise, sample_fraction
+from spanloom.llm.common import hash_sample, map_columns, materialise, release_memory, resident, sample_fraction, small_batches
 
 CODEBOOKS, CODEWORDS, BEAM = 32, 256, 4
 #: Bound of the sample that codebooks are fitted on, and of the driver's share of work.
 TRAIN_VECTORS = 10_000
 #: Distinct vectors of each query that are ranked again.
 SHORTLIST = 256
-#: Rows of a block of codes, and queries of a block.
-CODE_BLOCK, QUERY_BLOCK = 65_536, 512
+#: Codes that a task holds at once; queries that are worth a task of their own, and most that one task is given.
+STRIP, QUERY_BLOCK, MOST_QUERIES = 1 << 20, 512, 1 << 15
+#: Tasks that the scan is split into before a task is given more than ``QUERY_BLOCK`` queries.
+TASKS = 2000
 
 
 @dataclass
@@ -104,6 +109,33 @@ def usable(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(~bad & some).select("vec_id", F.transform(v, lambda x: (x + F.lit(0.0)).cast("double")).alias("v"))
 
 
+class Strip:
+    """Codes that a task holds, and the best of them for a query."""
+
+    def __init__(self, place: tuple = ()):
+        self.place = place
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), "uint8").reshape(rows.num_rows, -1)
+        self._parts.append((rows.column("vec_id").to_numpy(), rows.column("norm").to_numpy(), codes))
+
+    def best(self, table: np.ndarray, n: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and approximate scores of the ``n`` best; a code's score is a sum of entries of ``table``."""
+        if self._whole is None:
+            ids, norms, codes = (np.concatenate(part) for part in zip(*self._parts, strict=True)) if self._parts else (np.empty(0, "int64"), np.empty(0, "float32"), np.empty((0, len(table)), "uint8"))
+            self._parts, self._whole = [], (ids, norms, np.ascontiguousarray(codes.T))
+        ids, norms, codes = self._whole
+        near = table[0][codes[0]]
+        for m in range(1, len(codes)):
+            near += table[m][codes[m]]
+        if measure == "euclidean":
+            near = 2 * near - norms
+        chosen = np.argpartition(-near, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
+        return ids[chosen], near[chosen]
+
+
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int = SHORTLIST, train_vectors: int = TRAIN_VECTORS, measure: str = "inner") -> DataFrame:
     """The ``k`` rows of largest inner product with each query row, the query's own left out.
 
@@ -112,65 +144,66 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``, exactly as computed on the
     original vectors in double precision; ties go to the smaller ``vec_id``. Vectors that are null,
-    zero or hold null or non-finite components take no part, nor do rows without an id. If an id
-    is repeated, its row of the least vector stands for it. All vectors must have one length. Equal
+    zero or hold null or non-finite components take no part, nor do rows without an id, nor vectors
+    of another length than most have (of lengths that are as frequent, the greater). If an id
+    is repeated, its row of the least vector stands for it. Equal
     vectors are coded once; of each such group the ``k + 1`` smallest ids can be in a result, so no
     other copies are ranked. Other columns are left out; an empty table gives an empty result.
 
-    Queries and codes meet in pairs of blocks, packed into one value each. A pair of blocks gives
-    ``shortlist`` candidates a query, and these are reduced again before originals are fetched.
+    Codes are dealt to strips of about ``STRIP``, queries to chunks. A task gets a strip's codes, holds
+    them, and reads a chunk's queries one after another, so each query gives ``shortlist`` candidates
+    a strip; these are reduced again before originals are fetched.
     """
     spark = vectors.sparkSession
-    rows = materialise(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
+    given = usable(vectors)
+    width = given.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if width is None:
+        return spark.createDataFrame([], schema)
+    rows = materialise(given.filter(F.size("v") == width["width"]).groupBy("vec_id").agg(F.min("v").alias("v")))
     copies = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("copy") <= k + 1)
     copies = materialise(copies.withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))))
     distinct = copies.filter(F.col("copy") == 1).select("vec_id", "v")
     total = distinct.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
     sample = hash_sample(distinct, F.col("vec_id"), sample_fraction(total, train_vectors)).orderBy("vec_id").toArrow()
     fitted = np.array(sample["v"].to_pylist() or [distinct.first()["v"]], "float32")
-    model = spark.sparkContext.broadcast(pickle.dumps(fit(fitted)))
+    data = pickle.dumps(fit(fitted))
+    model, label = spark.sparkContext.broadcast(data), ("neighbours", hashlib.sha256(data).hexdigest())
 
     def pack_codes(columns: dict[str, list]) -> dict[str, list]:
-        codes, norms = pickle.loads(model.value).encode(np.array(columns["v"], "float32"))
+        codes, norms = resident(label, lambda: pickle.loads(model.value)).encode(np.array(columns["v"], "float32"))
         return {"vec_id": columns["vec_id"], "code": [c.tobytes() for c in codes], "norm": norms}
 
-    code_blocks = max(1, -(-total // CODE_BLOCK))
     coded = map_columns(distinct, pack_codes, "vec_id long, code binary, norm float", rows=4096)
-    codes = coded.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(code_blocks)).alias("code_block")).agg(F.collect_list(F.struct("vec_id", "code", "norm")).alias("codes"))
     queries = rows.filter(is_query)
     n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("query_block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    met = codes.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    pairs = met.join(asked, "query_block").repartition(max(1, code_blocks * query_blocks), "code_block", "query_block")
-
-    def scan(columns: dict[str, list]) -> dict[str, list]:
-        books = pickle.loads(model.value)
-        out: dict[str, list] = {"query_id": [], "rep": [], "near": []}
-        for held, asking in zip(columns["codes"], columns["queries"], strict=True):
-            held.sort(key=lambda row: row["vec_id"])
-            ids = np.array([row["vec_id"] for row in held])
-            norms = np.array([row["norm"] for row in held], "float32")
-            codes = np.frombuffer(b"".join(row["code"] for row in held), "uint8").reshape(len(held), -1)
-            for query in asking:
-                table = books.tables(np.array([query["v"]], "float32"))[0]
-                near = table[0][codes[:, 0]]
-                for m in range(1, codes.shape[1]):
-                    near += table[m][codes[:, m]]
-                if measure == "euclidean":
-                    near = 2 * near - norms
-                keep = min(shortlist + 1, len(ids))
-                best = np.argsort(-near, kind="stable")[:keep] if keep == len(ids) else np.argpartition(-near, keep - 1)[:keep]
-                out["query_id"] += [query["vec_id"]] * keep
-                out["rep"] += ids[best].tolist()
-                out["near"] += near[best].tolist()
-        return out
-
-    found = map_columns(pairs.select("codes", "queries"), scan, "query_id long, rep long, near float", rows=1)
-    if code_blocks > 1:
+    strips = max(1, -(-total // STRIP))
+    chunks = max(1, min(-(-n_queries // QUERY_BLOCK), max(TASKS // strips, -(-n_queries // MOST_QUERIES))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    held = coded.select(F.pmod(F.xxhash64("vec_id"), F.lit(strips)).alias("strip"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "norm", "code", F.lit(None).cast("array<double>").alias("v"))
+    asked = queries.select(every(strips).alias("strip"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(chunks)).alias("chunk"), F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("float").alias("norm"), F.lit(None).cast("binary").alias("code"), "v")
+    met = held.unionByName(asked).repartition(strips * chunks, "strip", "chunk").sortWithinPartitions("strip", "chunk", "kind", "vec_id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = resident(label, lambda: pickle.loads(model.value))
+        strip = Strip()
+        for batch in small_batches(batches, rows=4096):
+            places = np.stack([batch.column(name).to_numpy() for name in ("strip", "chunk", "kind")], axis=1)
+            for part in np.split(np.arange(len(places)), (np.diff(places, axis=0) != 0).any(axis=1).nonzero()[0] + 1):
+                at, here = part[0], batch.slice(part[0], len(part))
+                if tuple(places[at][:2]) != strip.place:
+                    strip = Strip(tuple(places[at][:2]))
+                if places[at][2] == 0:
+                    strip.add(here)
+                    continue
+                ids, vectors = here.column("vec_id").to_pylist(), here.column("v").to_pylist()
+                for query_id, v in zip(ids, vectors, strict=True):
+                    reps, near = strip.best(books.tables(np.array([v], "float32"))[0], shortlist + 1, measure)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), query_id)), pa.array(reps), pa.array(near)], names=["query_id", "rep", "near"])
+        release_memory()
+
+    found = met.mapInArrow(scan, "query_id long, rep long, near float")
+    if strips > 1:
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
         found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= shortlist + 1).drop("place")
     named = found.select("query_id", "rep").join(copies.select("rep", "vec_id", F.col("v").alias("candidate")), "rep").filter("vec_id <> query_id")

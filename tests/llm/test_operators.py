@@ -181,11 +181,29 @@ def test_neighbours(spark):
             assert [k for k, _, _ in found] == list(range(1, 21)) and np.allclose([s for *_, s in found], score[[v for _, v, _ in found]])
             hits += len(set(order) & {v for _, v, _ in found})
         assert hits >= 0.9 * 20 * len(got)
+    odd = df.unionByName(spark.createDataFrame([(940, [9.0] * 17, 0), (941, [9.0], 0), (960, [], 0), (20, [0.5], 1)], df.schema))
+    assert sorted(map(tuple, ann.nearest(odd, F.col("vec_id") % 20 == 0).collect())) == sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0).collect()))
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0)]
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_neighbours_by_strips(spark, monkeypatch):
+    """Several strips and chunks, and a shortlist that is a small part of the table."""
+    monkeypatch.setattr(ann, "STRIP", 700)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(9)
+    vectors = (rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.7 * rng.normal(size=(3000, 24))).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, shortlist=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = vectors[::20].astype("float64") @ vectors.T.astype("float64")
+    scores[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert set(got) == set(range(0, 3000, 20)) and np.mean([len(got[20 * i] & set(row.tolist())) for i, row in enumerate(best)]) >= 18
+
+
 def brute_groups(rows, percent):
     sets = []
     for _, text in rows:
