@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the text rules.
 FULL_WIDTH, HALF_WIDTH = "（）：，；！？、", "():,;!?,"
 ROMAN = {
-    "Ⅻ": "XII", "Ⅺ": "XI", "Ⅹ": "X", "Ⅸ": "IX", "Ⅷ": "VIII", "Ⅶ": "VII", "Ⅵ": "VI", "Ⅴ": "V", "Ⅳ": "IV", "Ⅲ": "III", "Ⅱ": "II", "Ⅰ": "I",
-    "ⅻ": "xii", "ⅺ": "xi", "ⅹ": "x", "ⅸ": "ix", "ⅷ": "viii", "ⅶ": "vii", "ⅵ": "vi", "ⅴ": "v", "ⅳ": "iv", "ⅲ": "iii", "ⅱ": "ii", "ⅰ": "i",
+    "Ⅰ": "I", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅴ": "V", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅹ": "X", "Ⅺ": "XI", "Ⅻ": "XII",
+    "ⅰ": "i", "ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv", "ⅴ": "v", "ⅵ": "vi", "ⅶ": "vii", "ⅷ": "viii", "ⅸ": "ix", "ⅹ": "x", "ⅺ": "xi", "ⅻ": "xii",
 }
 FUNCTION_WORDS = "功能|系统|模块|装置|单元|组件"
 ITEM_ID = r"<\s*[^>]*[A-Za-z][^>]*\d[^>]*>|<\s*[^>]*\d[^>]*[A-Za-z][^>]*>"
@@ -67,8 +67,11 @@ def characters(text: Column) -> Column:
 
 def bigrams(text: Column, single: bool = False) -> Column:
     """Distinct pairs of neighbouring characters; a lone character counts as one only if ``single``."""
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))))
-    return F.when(F.length(text) >= (1 if single else 2), pairs).otherwise(F.array().cast("array<string>"))
+    # the text is taken apart once a side, since taking a substring reads it from its start
+    chars, n = characters(text), F.greatest(F.length(text) - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b)))
+    alone = F.array(text) if single else F.array().cast("array<string>")
+    return F.when(F.length(text) >= 2, pairs).when(F.length(text) == 1, alone).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -113,7 +116,7 @@ def tokens(text: Column) -> Column:
     t = F.upper(normalised(text))
     words = F.regexp_extract_all(t, F.lit(r"[A-Za-z][A-Za-z0-9\-/.]+"), F.lit(0))
     runs = F.regexp_extract_all(t, F.lit(f"[{CJK}]{{2,}}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    pairs = F.flatten(F.transform(runs, lambda r: F.zip_with(F.slice(F.split(r, ""), F.lit(1), F.length(r) - 1), F.slice(F.split(r, ""), F.lit(2), F.length(r) - 1), lambda a, b: F.concat(a, b))))
     return F.concat(words, pairs)
 
 

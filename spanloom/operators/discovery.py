@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,14 +156,13 @@ def asymmetric_semantics(pairs: DataFrame, down: DataFrame, up: DataFrame, tau:
 
 
 def recalled(pairs: DataFrame, channels: list[str], k: int) -> DataFrame:
-    """[W3, U1] Pairs among the best ``k`` of a downstream unit in any channel; ties go to the smaller upstream id."""
-    ranks = [F.row_number().over(Window.partitionBy("d").orderBy(F.desc(c), "u")) for c in channels]
-    within = ranks[0] <= k
-    named = pairs.withColumns({f"_r{i}": r for i, r in enumerate(ranks)})
-    within = F.lit(False)
-    for i in range(len(ranks)):
-        within = within | (F.col(f"_r{i}") <= k)
-    return named.filter(within).drop(*(f"_r{i}" for i in range(len(ranks))))
+    """[W3, U1] Pairs among the best ``k`` of a downstream unit in any channel; ties go to the smaller upstream id.
+
+    Each channel is limited by itself, so rows beyond the limit go before they are shuffled.
+    ``pairs`` is read once for each channel.
+    """
+    best = [pairs.withColumn("_r", F.row_number().over(Window.partitionBy("d").orderBy(F.desc(c), "u"))).filter(F.col("_r") <= k).drop("_r") for c in channels]
+    return reduce(DataFrame.unionByName, best).dropDuplicates(["d", "u"])
 
 
 def scored_pairs(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOptions()) -> DataFrame:

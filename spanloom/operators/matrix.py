@@ -40,10 +40,14 @@ def rows_of_decisions(decisions: DataFrame, down: DataFrame, up: DataFrame, sour
     return joined.withColumns(filled | {"seq": seq, "relation_source": F.lit(source)})
 
 
+def _matches(ref: Column, ref_core: Column, kind: Column, key: Column, key_core: Column) -> Column:
+    number = lambda c: F.substring_index(T.strip(c), " ", 1)
+    return F.when(kind == "section", F.startswith(number(key), number(ref)) | F.startswith(number(ref), number(key))).otherwise(ref_core == key_core)
+
+
 def matches_unit(ref: Column, kind: Column, key: Column) -> Column:
     """[J11] Whether a reference means a unit: sections by their numbers' beginnings, items by the cores of ids."""
-    number = lambda c: F.substring_index(T.strip(c), " ", 1)
-    return F.when(kind == "section", F.startswith(number(key), number(ref)) | F.startswith(number(ref), number(key))).otherwise(T.id_core(ref) == T.id_core(key))
+    return _matches(ref, T.id_core(ref), kind, key, T.id_core(key))
 
 
 def hybrid_added(decided_rows: DataFrame, table: DataFrame, keys: list[str] = ["core"]) -> DataFrame:
@@ -59,30 +63,33 @@ def hybrid_suspicious(table: DataFrame, mains: DataFrame, keys: list[str] = ["co
     ``table`` has the keys, ``ord``, ``upstream_doc``, ``upstream_ref``, ``relation_source``,
     ``evidence``; ``mains`` the keys, ``main_doc``, ``main_kind``, ``main_key``, ``main_score``.
     """
-    both = table.join(mains, keys, "left")
-    hit = (F.col("upstream_ref") != "") & (F.col("upstream_doc") == F.col("main_doc")) & matches_unit(F.col("upstream_ref"), F.col("main_kind"), F.col("main_key"))
+    # cores are made on each side before the join, not for every pair after it
+    both = table.withColumn("_core", T.id_core(F.col("upstream_ref"))).join(mains.withColumn("_main_core", T.id_core(F.col("main_key"))), keys, "left")
+    hit = (F.col("upstream_ref") != "") & (F.col("upstream_doc") == F.col("main_doc")) & _matches(F.col("upstream_ref"), F.col("_core"), F.col("main_kind"), F.col("main_key"), F.col("_main_core"))
     group = Window.partitionBy(*keys)
     missed = F.max(F.coalesce(hit, F.lit(False)).cast("int")).over(group) == 0
     first = F.row_number().over(group.orderBy(F.when(F.col("relation_source") == "table", 0).otherwise(1), "ord")) == 1
     marked = F.col("main_key").isNotNull() & missed & first & (F.col("relation_source") == "table")
     note = F.concat(F.lit("[suspicious] 发现建议 "), "main_doc", F.lit(":"), F.substring("main_key", 1, 30), F.format_string("(%.2f)", "main_score"))
     flagged = both.withColumn("suspicious", marked)
-    return flagged.withColumns({"evidence": F.when(F.col("suspicious"), note).otherwise(F.col("evidence")), "relation_source": F.when(F.col("suspicious"), "hybrid").otherwise(F.col("relation_source"))}).drop("main_doc", "main_kind", "main_key", "main_score")
+    return flagged.withColumns({"evidence": F.when(F.col("suspicious"), note).otherwise(F.col("evidence")), "relation_source": F.when(F.col("suspicious"), "hybrid").otherwise(F.col("relation_source"))}).drop("main_doc", "main_kind", "main_key", "main_score", "_core", "_main_core")
 
 
 def hybrid_consensus(table: DataFrame, relations: DataFrame, statuses: DataFrame, keys: list[str] = ["core"]) -> DataFrame:
     """[J14] Table rows with what the decision on their unit says: agree, secondary, unsupported or untraced.
 
     ``relations`` has the keys, ``rank``, ``doc``, ``kind``, ``key``, ``score``; ``statuses`` the keys,
-    ``status`` and ``best`` (highest score). Units without a decision stay unmarked.
+    ``status`` and ``best`` (highest score). Units without a decision stay unmarked. A decision's few
+    relations become one array a unit, with the cores of their ids, so the table is shuffled once.
     """
-    hits = table.select(*keys, "ord", "upstream_doc", "upstream_ref").join(relations, keys)
-    named = hits.filter((F.col("upstream_ref") != "") & (F.col("upstream_doc") == F.col("doc")) & matches_unit(F.col("upstream_ref"), F.col("kind"), F.col("key")))
-    best = named.groupBy(*keys, "ord").agg(F.min("rank").alias("hit_rank"), F.min_by("score", "rank").alias("hit_score"))
-    marked = table.join(statuses, keys, "left").join(best, [*keys, "ord"], "left")
-    outcome = F.when(F.col("status").isNull(), None).when(F.col("status") != "traced", "untraced").when(F.col("hit_rank") == 1, "agree").when(F.col("hit_rank") > 1, "secondary").otherwise("unsupported")
-    note = F.when(F.col("consensus") == "untraced", F.concat(F.lit("发现层未溯源"), F.coalesce(F.format_string("(%.2f)", "best"), F.lit("")))).when(F.col("consensus") == "agree", F.format_string("发现层一致(%.2f)", "hit_score")).when(F.col("consensus") == "secondary", "发现层次要支持").when(F.col("consensus") == "unsupported", "发现层未支持")
-    return marked.withColumn("consensus", outcome).withColumn("evidence", F.concat_ws(" ", F.when(F.col("evidence") != "", F.col("evidence")), note)).drop("status", "best", "hit_rank", "hit_score")
+    named = relations.select(*keys, F.struct("rank", "score", "doc", "kind", "key", T.id_core(F.col("key")).alias("core_of_key")).alias("r"))
+    listed = named.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("rels"))
+    marked = table.withColumn("_core", T.id_core(F.col("upstream_ref"))).join(statuses.join(listed, keys, "left"), keys, "left")
+    same = lambda r: (F.col("upstream_ref") != "") & (F.col("upstream_doc") == r["doc"]) & _matches(F.col("upstream_ref"), F.col("_core"), r["kind"], r["key"], r["core_of_key"])
+    marked = marked.withColumn("_hit", F.get(F.filter("rels", same), F.lit(0)))
+    outcome = F.when(F.col("status").isNull(), None).when(F.col("status") != "traced", "untraced").when(F.col("_hit.rank") == 1, "agree").when(F.col("_hit.rank") > 1, "secondary").otherwise("unsupported")
+    note = F.when(F.col("consensus") == "untraced", F.concat(F.lit("发现层未溯源"), F.coalesce(F.format_string("(%.2f)", "best"), F.lit("")))).when(F.col("consensus") == "agree", F.format_string("发现层一致(%.2f)", "_hit.score")).when(F.col("consensus") == "secondary", "发现层次要支持").when(F.col("consensus") == "unsupported", "发现层未支持")
+    return marked.withColumn("consensus", outcome).withColumn("evidence", F.concat_ws(" ", F.when(F.col("evidence") != "", F.col("evidence")), note)).drop("status", "best", "rels", "_core", "_hit")
 
 
 def character_categories(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +177,13 @@ def forward_coverage(entries: DataFrame, doc: str = "upstream_doc") -> DataFrame
 
 
 def inferred_design_doc(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """[X5] The design document of which the name holds the first four characters, else the first of all."""
-    pairs = names.crossJoin(F.broadcast(docs.select("doc", "doc_ord")))  # a handful of documents
-    best = Window.partitionBy("name").orderBy(F.when(F.col("name").contains(F.substring("doc", 1, 4)), 0).otherwise(1), "doc_ord")
-    return pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("name", "doc")
+    """[X5] The design document of which the name holds the first four characters, else the first of all.
+
+    Beginnings are looked up among the name's own stretches of four characters, by equality.
+    """
+    begins = docs.select(F.substring("doc", 1, 4).alias("part"), "doc", "doc_ord").groupBy("part").agg(F.min(F.struct("doc_ord", "doc")).alias("first"))
+    chars = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    parts = names.select("name").distinct().withColumn("part", F.explode(F.array_distinct(F.concat(*(chars(F.col("name"), n) for n in (1, 2, 3, 4))))))
+    found = parts.join(begins, "part").groupBy("name").agg(F.min("first").alias("first"))
+    fallback = docs.agg(F.min(F.struct("doc_ord", "doc")).alias("any"))  # one row
+    return names.select("name").distinct().join(found, "name", "left").join(F.broadcast(fallback)).select("name", F.coalesce("first.doc", "any.doc").alias("doc")).filter(F.col("doc").isNotNull())

@@ -17,7 +17,7 @@ TABLE_HEADER_LINE = r"(?m)^\s*(?:附表\s*\d*[^\n]*需求追踪[表合]?|附表\
 SECTION_LINE = r"(?m)^(\d+(?:\.\d+)*\.?)\s*([一-鿿A-Z][^\n]*)"
 CONTENTS_LINE = r"^(?:\d+(?:\.\d+)*\.?)\s*[一-鿿A-Za-z].{0,40}?(?:(?:\.{2,}|[ \t]{2,})\s*\d+(?:-\d+)?[ \t]*)$"
 GENERIC_TITLES = "概述|要求|功能|描述|简介|综述|规则|准则|说明|意义|目的|范围|组成|结构|原理|故障诊断|模块类|系统级|总体|通用"
-DIAGRAM_SIGNS = "[│├└┌┐┘┬┴┼─┤╔╗╚╝║═╠╣╦╩╬]"
+DIAGRAM_SIGNS = "[│├└┌┐┘┬┴┼─┤╔╗╚╝║═╠╣╦╩╬→←↑↓▲▼►◄]"
 _HEADING = r"(?:\d+(?:\.\d+)+\.?[ \t]*[一-鿿A-Za-z].{0,40}|\d+(?:\.\d+)+\.?[ \t]*(?=\n)|\d+\.?[ \t]+[一-鿿A-Za-z].{0,40}|[一-鿿]{2,25}[（(][A-Za-z][A-Za-z0-9/\-,]*[)）])"
 TRAILING_HEADINGS = rf"\n+{_HEADING}(?:\n+{_HEADING})*\s*$"
 TRAILING_SUBTITLE = r"(?:\n+|(?<=[。．.]))[一-鿿]{2,20}[（(][A-Za-z][A-Za-z0-9/\-,]*[)）]\s*$"

@@ -26,6 +26,7 @@ Entailment = Callable[[list[tuple[str, str]]], list[tuple[float, float, float]]]
 GREEN, BLUE, BLACK = "GREEN", "BLUE", "BLACK"
 
 _WIDTH = str.maketrans(T.FULL_WIDTH, T.HALF_WIDTH)
+# What is taken for look-alikes, list marks and numbers.
 _FIXES = [(re.compile(p), "1") for p in (r"(?<=[A-Z])l(?=[A-Z\d])", r"(?<=[A-Z])l$", r"(?<=\d)l(?=[A-Z])")] + [(re.compile(r"(?<=\d)[Oo](?=\d)"), "0")]
 _MARK = re.compile(r"(?m)^\s*[-•●·]\s*")
 _NUMBER = re.compile(r"(?m)^\s*(?:\d+[)）]|[a-zA-Z][)）])")
@@ -248,18 +249,19 @@ def classified(sim: Column, bigram: Column, charset: Column, lcs: Column, length
 def common_substrings(a: str, b: str, least: int = 4, cap: int = 200) -> list[tuple[int, int, int]]:
     """Maximal common stretches of two texts' starts: start in each, and length."""
     a, b = a[:cap], b[:cap]
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - least + 1):
+        places.setdefault(b[j : j + least], []).append(j)
     out = []
-    runs = np.zeros(len(b) + 1, "int32")
-    codes = np.array(list(b))
-    for i, ch in enumerate(a):
-        step = np.where(codes == ch, runs[:-1] + 1, 0)
-        ahead = a[i + 1] if i + 1 < len(a) else ""
-        for j in np.nonzero(step >= least)[0].tolist():
-            if j + 1 >= len(b) or b[j + 1] != ahead:
-                size = int(step[j])
-                out.append((i - size + 1, j - size + 1, size))
-        runs[1:] = step
-    return out
+    for i in range(len(a) - least + 1):
+        for j in places.get(a[i : i + least], ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # part of a stretch that began before
+            size = least
+            while i + size < len(a) and j + size < len(b) and a[i + size] == b[j + size]:
+                size += 1
+            out.append((i, j, size))
+    return sorted(out, key=lambda s: (s[0] + s[2], s[1] + s[2]))
 
 
 def apart(spans: list[tuple[int, int, int]], most: int | None = None) -> list[tuple[int, int, int]]:
@@ -298,16 +300,27 @@ def _promote(own: list[Phrase], other: list[Phrase], partner: dict[int, int], si
 
 def runs_of(text: str, phrases: list[Phrase]) -> list[tuple[str, str]]:
     """The whole text as stretches of one class; line feeds at a stretch's start go to the one before."""
-    colour = [BLACK] * len(text)
-    for p in phrases:
-        for start, end in p.children or [(p.start, p.end)]:
-            colour[start:end] = [p.category] * (end - start)
+    spans = [(start, end, p.category) for p in phrases for start, end in p.children or [(p.start, p.end)] if p.category != BLACK and end > start]
+    parts, at = [], 0
+    for start, end, category in sorted(spans):
+        start = max(start, at)
+        if start >= end:
+            continue
+        parts += [(at, start, BLACK), (start, end, category)]
+        at = end
     out: list[list[str]] = []
-    for ch, c in zip(text, colour, strict=True):
-        if out and (out[-1][1] == c or ch == "\n"):
-            out[-1][0] += ch
-        else:
-            out.append([ch, c])
+    for start, end, category in [*parts, (at, len(text), BLACK)]:
+        if out and out[-1][1] != category:
+            lead = start
+            while lead < end and text[lead] == "\n":
+                lead += 1
+            out[-1][0] += text[start:lead]
+            start = lead
+        if start < end:
+            if out and out[-1][1] == category:
+                out[-1][0] += text[start:end]
+            else:
+                out.append([text[start:end], category])
     return [(t, c) for t, c in out]
 
 
@@ -330,60 +343,111 @@ def symmetric(own: list[tuple[str, str]], other: list[tuple[str, str]], least: i
     return own
 
 
+@dataclass
+class _Pair:
+    """A pair in the course of verification: phrases of both sides, their similarities and partners."""
+
+    down: str
+    up: str
+    a: list[Phrase] = field(default_factory=list)
+    b: list[Phrase] = field(default_factory=list)
+    sim: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    partners: dict[int, int] = field(default_factory=dict)
+
+    def split(self, o: MatchOptions) -> None:
+        if not self.down.strip() or not self.up.strip():
+            return
+        for text, side in ((self.down, self.a), (self.up, self.b)):
+            clean, places = without_noise(text)
+            for p in decompose(clean, o.min_phrase):
+                p.start, p.end = places[p.start], places[p.end - 1] + 1
+                side.append(p)
+
+    def match(self, vectors: Callable[[list[str]], np.ndarray], o: MatchOptions) -> None:
+        if self.a and self.b:
+            self.sim = vectors([p.clean for p in self.a]) @ vectors([p.clean for p in self.b]).T
+            self.partners = dict(assign(self.sim, o.floor))
+
+    def views(self) -> list[tuple[list[Phrase], list[Phrase], dict[int, int], np.ndarray]]:
+        """Own and other phrases, own to other partners and similarities, seen from either side."""
+        return [(self.a, self.b, self.partners, self.sim), (self.b, self.a, {j: i for i, j in self.partners.items()}, self.sim.T)]
+
+    def compared(self) -> list[tuple[Phrase, Phrase, float]]:
+        """Each phrase with its partner, or else the most similar one of the other side."""
+        if not (self.a and self.b):
+            return []
+        return [(p, other[j], float(sim[i, j])) for own, other, partner, sim in self.views() for i, p in enumerate(own) for j in [partner.get(i, int(sim[i].argmax()))]]
+
+    def questions(self, o: MatchOptions) -> set[tuple[str, str]]:
+        return {(p.text, q.text) for p, q, similarity in self.compared() if similarity >= o.semantic}
+
+    def result(self, answers: dict[tuple[str, str], tuple[float, float, float]], o: MatchOptions) -> dict:
+        if not (self.a and self.b):
+            return {"down_runs": [(self.down, BLACK)] if self.down else [], "up_runs": [(self.up, BLACK)] if self.up else [], "overall": BLACK}
+        found = [(p, classify(p.text, q.text, similarity, lambda x, y: answers.get((x, y), (0.0, 0.0, 0.0)), o)) for p, q, similarity in self.compared()]
+        for p, category in found:
+            p.category = category
+        for own, other, _, sim in self.views():
+            _mark_parts(own, other, sim, o)
+        for own, other, partner, sim in self.views():
+            _promote(own, other, partner, sim, o)
+        down_runs, up_runs = runs_of(self.down, self.a), runs_of(self.up, self.b)
+        down_runs = symmetric(down_runs, up_runs)
+        up_runs = symmetric(up_runs, down_runs)
+        overall = max((p.category for p in self.a + self.b), key=PRIORITY.__getitem__)
+        return {"down_runs": down_runs, "up_runs": up_runs, "overall": overall}
+
+
+def verify_pairs(pairs: list[tuple[str | None, str | None]], encoder: Encoder = hashed_grams, entailment: Entailment = undecided, o: MatchOptions = MatchOptions()) -> list[dict]:
+    """[P1, M11] Results of several pairs; the encoder and the entailment model are each asked once, about distinct phrases."""
+    listed = [_Pair(down or "", up or "") for down, up in pairs]
+    for pair in listed:
+        pair.split(o)
+    phrases = sorted({p.clean for pair in listed if pair.a and pair.b for p in pair.a + pair.b}, key=lambda t: (len(t), t))
+    where, known = {t: i for i, t in enumerate(phrases)}, encoder(phrases) if phrases else np.zeros((0, 0))
+    for pair in listed:
+        pair.match(lambda texts: known[[where[t] for t in texts]], o)
+    questions = sorted({q for pair in listed for q in pair.questions(o)})
+    answers = dict(zip(questions, entailment(questions), strict=True)) if questions else {}
+    return [pair.result(answers, o) for pair in listed]
+
+
 def verify_pair(down: str | None, up: str | None, encoder: Encoder = hashed_grams, entailment: Entailment = undecided, o: MatchOptions = MatchOptions()) -> dict:
     """[P1] Runs of both texts and the overall class; an empty side makes all BLACK."""
-    down, up = down or "", up or ""
-    if not down.strip() or not up.strip():
-        return {"down_runs": [(down, BLACK)] if down else [], "up_runs": [(up, BLACK)] if up else [], "overall": BLACK}
-    sides = []
-    for text in (down, up):
-        clean, places = without_noise(text)
-        phrases = decompose(clean, o.min_phrase)
-        for p in phrases:
-            p.start, p.end = places[p.start], places[p.end - 1] + 1
-        sides.append(phrases)
-    a, b = sides
-    sim = encoder([p.clean for p in a]) @ encoder([p.clean for p in b]).T if a and b else np.zeros((len(a), len(b)))
-    pairs = dict(assign(sim, o.floor))
-    back = {j: i for i, j in pairs.items()}
-    asked = {(p.clean, b[j].clean) for i, p in enumerate(a) for j in {pairs.get(i, int(sim[i].argmax()) if b else -1)} if j >= 0 and sim[i, j] >= o.semantic}
-    asked |= {(q.clean, a[i].clean) for j, q in enumerate(b) for i in {back.get(j, int(sim[:, j].argmax()) if a else -1)} if i >= 0 and sim[i, j] >= o.semantic}
-    listed = sorted(asked)
-    known = dict(zip(listed, entailment(listed), strict=True))
-    for own, other, partner, s in ((a, b, pairs, sim), (b, a, back, sim.T)):
-        for i, p in enumerate(own):
-            j = partner.get(i, int(s[i].argmax()) if other else -1)
-            p.category = classify(p.clean, other[j].clean, float(s[i, j]), lambda x, y: known.get((x, y), (0.0, 0.0, 0.0)), o) if j >= 0 else BLACK
-    _mark_parts(a, b, sim, o)
-    _mark_parts(b, a, sim.T, o)
-    _promote(a, b, pairs, sim, o)
-    _promote(b, a, back, sim.T, o)
-    down_runs, up_runs = runs_of(down, a), runs_of(up, b)
-    down_runs = symmetric(down_runs, up_runs)
-    up_runs = symmetric(up_runs, down_runs)
-    overall = max((p.category for p in a + b), key=PRIORITY.__getitem__, default=BLACK)
-    return {"down_runs": down_runs, "up_runs": up_runs, "overall": overall}
+    return verify_pairs([(down, up)], encoder, entailment, o)[0]
 
 
 RUNS = "array<struct<text:string,category:string>>"
 
 
-def verified(pairs: DataFrame, encoder: Encoder = hashed_grams, entailment: Entailment = undecided, o: MatchOptions = MatchOptions()) -> DataFrame:
+def verified(pairs: DataFrame, encoder: Encoder = hashed_grams, entailment: Entailment = undecided, o: MatchOptions = MatchOptions(), batch: int = 256) -> DataFrame:
     """[P1] ``pair_id``, ``down_runs``, ``up_runs``, ``overall`` and ``error`` of rows ``pair_id``, ``down``, ``up``.
 
-    A pair that fails has null results and its error's text; it doesn't end the job.
+    Pairs are dealt out evenly, and go through the models ``batch`` at a time. If a batch fails, its
+    pairs are tried one by one; one that fails has null results and its error's text, and doesn't end the job.
     """
 
+    def outcome(pair_id: int, r: dict) -> tuple:
+        as_dicts = lambda runs: [{"text": t, "category": c} for t, c in runs]
+        return pair_id, as_dicts(r["down_runs"]), as_dicts(r["up_runs"]), r["overall"], None
+
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for pair_id, down, up in zip(frame["pair_id"], frame["down"], frame["up"], strict=True):
+        for whole in frames:
+            for at in range(0, len(whole), batch):
+                frame = whole.iloc[at : at + batch]
+                ids, texts = frame["pair_id"].tolist(), list(zip(frame["down"], frame["up"], strict=True))
                 try:
-                    r = verify_pair(down, up, encoder, entailment, o)
-                    as_dicts = lambda runs: [{"text": t, "category": c} for t, c in runs]
-                    rows.append((pair_id, as_dicts(r["down_runs"]), as_dicts(r["up_runs"]), r["overall"], None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((pair_id, None, None, None, repr(e)))
-            yield pd.DataFrame(rows, columns=["pair_id", "down_runs", "up_runs", "overall", "error"])
-
-    return pairs.select("pair_id", "down", "up").mapInPandas(verify, f"pair_id long, down_runs {RUNS}, up_runs {RUNS}, overall string, error string")
+                    rows = [outcome(i, r) for i, r in zip(ids, verify_pairs(texts, encoder, entailment, o), strict=True)]
+                except Exception:  # noqa: BLE001
+                    rows = []
+                    for pair_id, (down, up) in zip(ids, texts, strict=True):
+                        try:
+                            rows.append(outcome(pair_id, verify_pair(down, up, encoder, entailment, o)))
+                        except Exception as e:  # noqa: BLE001
+                            rows.append((pair_id, None, None, None, repr(e)))
+                yield pd.DataFrame(rows, columns=["pair_id", "down_runs", "up_runs", "overall", "error"])
+
+    # a set number of partitions, since small tables with much work would else be put into one
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("pair_id", "down", "up").repartition(parts, "pair_id")
+    return dealt.mapInPandas(verify, f"pair_id long, down_runs {RUNS}, up_runs {RUNS}, overall string, error string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.options import COLOURS
 
+# The columns of the sheets.
 BACKWARD_COLUMNS = ("序号", "下游条目号", "下游内容", "上游文档", "上游条目号/章节", "上游内容", "下游文档", "关系来源", "置信度", "证据", "待人工确认", "AI 审核意见")
 FORWARD_COLUMNS = ("序号", "上游条目号", "上游内容", "下游文档", "下游条目号", "下游内容")
 
