@@ -2,59 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions import vector as V
 from spanloom.operators import adjudicate, compare, discovery, layout, matrix, relations, units, verify
 from spanloom.options import DiscoveryOptions
+from spanloom.plans.registry import NORMAL, ORACLE_SQL, QUERIES, STRIPPED, long, query, six  # noqa: F401
+from spanloom.session import cut
 from spanloom.sources.readers import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Weights and thresholds for Latin texts without an encoder.
 LATIN = DiscoveryOptions(w_sem=0.0, w_contain=0.5, w_idf=0.3, w_tfidf=0.2, theta=0.2, recall_k=5, coarse_k=10)
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def long(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
-
-def six(c: Column) -> Column:
-    return F.round(c, 6)
-
-
 # ---- text expressions -------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, CAST(length(t) AS BIGINT) AS norm_length, md5(t) AS norm_md5
-FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', '', 'g'), '[;.,:!?]+$', '') AS t FROM documents)""")
+@query(f"SELECT doc_id, CAST(length(t) AS BIGINT) AS norm_length, md5(t) AS norm_md5 FROM (SELECT doc_id, {NORMAL('text')} AS t FROM documents)")
 def norm_text(spark, sf_dir):
-    t = F.regexp_replace(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", ""), "[;.,:!?]+$", "")
-    return table(spark, sf_dir, "documents").select("doc_id", long(F.length(t)).alias("norm_length"), F.md5(t.cast("binary")).alias("norm_md5"))
+    t = table(spark, sf_dir, "documents").select("doc_id", T.normalised(F.col("text")).alias("t"))
+    return t.select("doc_id", long(F.length("t")).alias("norm_length"), F.md5(F.col("t").cast("binary")).alias("norm_md5"))
 
 
-@query(r"""SELECT page_id, CAST(len(tags) AS BIGINT) AS n_tags, CASE WHEN len(tags) >= 3 THEN 'id_based' ELSE 'chapter_based' END AS doc_type
-FROM (SELECT page_id, list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tags FROM pages)""")
+@query("""SELECT o_custkey AS doc, CAST(count(*) AS INTEGER) AS n_ids, CASE WHEN count(*) >= 3 THEN 'id_based' ELSE 'chapter_based' END AS doc_type FROM orders GROUP BY o_custkey""")
 def doc_type_flags(spark, sf_dir):
-    tags = F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)))
-    return table(spark, sf_dir, "pages").select("page_id", long(F.size(tags)).alias("n_tags"), F.when(F.size(tags) >= 3, "id_based").otherwise("chapter_based").alias("doc_type"))
+    """Customers as documents that name each order twice, with and without white space in the brackets."""
+    named = F.concat(F.lit("见 < ORD-"), "o_orderkey", F.lit("> 与 <ORD-"), "o_orderkey", F.lit(">。"))
+    docs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.array_join(F.collect_list(named), "\n").alias("text"))
+    return units.document_type(docs)
 
 
 @query(r"""SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS sentence_chars
@@ -73,17 +50,18 @@ def _adjacent(spark, sf_dir) -> DataFrame:
 
 _ADJACENT = "(SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations) WHERE a IS NOT NULL)"
 _BIGRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: substring({0}, i, 2)))"
+_NORMAL_PAIRS = f"(SELECT conv_id, turn, {NORMAL('a')} AS a, {NORMAL('b')} AS b FROM {_ADJACENT})"
+_LIKENESS = "SELECT conv_id, turn, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END AS likeness FROM"
 
 
-@query(f"SELECT conv_id, turn, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS likeness FROM (SELECT conv_id, turn, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM {_ADJACENT})")
+@query(f"{_LIKENESS} (SELECT *, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM {_NORMAL_PAIRS})")
 def char_set_jaccard(spark, sf_dir):
-    chars = lambda c: F.array_distinct(T.characters(F.col(c)))
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.jaccard(chars("a"), chars("b"))).alias("likeness"))
+    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.char_set_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
 
 
-@query(f"SELECT conv_id, turn, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS likeness FROM (SELECT conv_id, turn, {_BIGRAMS.format('a')} AS x, {_BIGRAMS.format('b')} AS y FROM {_ADJACENT})")
+@query(f"{_LIKENESS} (SELECT *, {_BIGRAMS.format('a')} AS x, {_BIGRAMS.format('b')} AS y FROM {_NORMAL_PAIRS})")
 def bigram_jaccard(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.jaccard(T.bigrams(F.col("a"), True), T.bigrams(F.col("b"), True))).alias("likeness"))
+    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.bigram_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
 
 
 @query(f"""SELECT conv_id, turn, round(len(list_intersect(x, y)) / len(CASE WHEN la <= lb THEN x ELSE y END), 6) AS contained
@@ -150,7 +128,7 @@ def _units(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Documents against benchmark passages; downstream ids are even, upstream ids odd."""
     profile = lambda df, uid, kind: discovery.profiled(df.select(uid.alias("uid"), F.lit("x").alias("doc"), F.lit(kind).alias("kind"), F.lit("").alias("key"), F.col("text").alias("content")), latin=True)
     docs = profile(table(spark, sf_dir, "documents"), F.col("doc_id") * 2, "item")
-    return docs, profile(table(spark, sf_dir, "benchmark"), F.col("item_id") * 2 + 1, "item")
+    return tuple(cut(side.select("uid", "tokens", "grams")) for side in (docs, profile(table(spark, sf_dir, "benchmark"), F.col("item_id") * 2 + 1, "item")))
 
 
 def _statistics(down: DataFrame, up: DataFrame) -> DataFrame:
@@ -163,14 +141,12 @@ def token_df(spark, sf_dir):
 
 
 @query(f"""WITH {_UNITS}, raw AS (SELECT side, id, token, (1 + ln(count(*))) * any_value(ln((n + 1) / (df + 1)) + 1) AS x FROM flat JOIN stats USING (token) GROUP BY side, id, token)
-SELECT side || id AS unit, count(*) AS terms, round(sqrt(sum(x * x)), 6) AS norm FROM raw GROUP BY side, id""")
+SELECT side || id AS unit, count(*) AS terms, round(max(x) / sqrt(sum(x * x)), 6) AS peak, round(sum(x) / sqrt(sum(x * x)), 6) AS total FROM raw GROUP BY side, id""")
 def tfidf_norm(spark, sf_dir):
     down, up = _units(spark, sf_dir)
-    both = down.select("uid", "tokens").unionByName(up.select("uid", "tokens"))
-    counts = both.select("uid", F.explode("tokens").alias("token")).groupBy("uid", "token").agg(F.count("*").alias("c"))
-    x = counts.join(_statistics(down, up), "token").withColumn("x", (1 + F.log("c")) * F.col("idf"))
+    rows = discovery.tfidf_rows(down.select("uid", "tokens").unionByName(up.select("uid", "tokens")), _statistics(down, up))
     name = F.concat(F.when(F.col("uid") % 2 == 0, "d").otherwise("u"), F.floor(F.col("uid") / 2).cast("string"))
-    return x.groupBy("uid").agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).select(name.alias("unit"), "terms", six(F.col("norm")).alias("norm"))
+    return rows.groupBy("uid").agg(F.count("*").alias("terms"), six(F.max("w")).alias("peak"), six(F.sum("w")).alias("total")).select(name.alias("unit"), "terms", "peak", "total")
 
 
 @query(f"""WITH {_UNITS}, rare AS (SELECT u.id AS u, token, ln(n / df) + 1 AS w FROM one u JOIN stats USING (token) WHERE side = 'u' AND df <= greatest(2, floor(n / 10))),
@@ -194,12 +170,12 @@ def tfidf_cosine(spark, sf_dir):
 _W2 = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{{2,}}')"
 
 
-@query(f"""WITH g AS MATERIALIZED (SELECT 's' AS kind, doc_id AS id, list_distinct({_W2.format('text')}) AS g FROM documents WHERE n_chars > 2000 UNION ALL SELECT 'i', doc_id, list_distinct({_W2.format('text')}) FROM documents WHERE n_chars <= 300),
+@query(f"""WITH g AS MATERIALIZED (SELECT 's' AS kind, doc_id AS id, list_distinct({_W2.format('text')}) AS g FROM documents WHERE n_chars > 300 UNION ALL SELECT 'i', doc_id, list_distinct({_W2.format('text')}) FROM documents WHERE n_chars <= 300),
  f AS MATERIALIZED (SELECT kind, id, len(g) AS n, unnest(g) AS gram FROM g)
 SELECT s.id AS section, i.id AS item FROM f s JOIN f i USING (gram) WHERE s.kind = 's' AND i.kind = 'i' GROUP BY s.id, i.id HAVING count(*) >= 0.7 * any_value(i.n)""")
 def containment_graph(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter((F.col("n_chars") > 2000) | (F.col("n_chars") <= 300))
-    kind = F.when(F.col("n_chars") > 2000, "section").otherwise("item")
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("n_chars") > 300, "section").otherwise("item")
     return discovery.containment_graph(docs.select(F.col("doc_id").alias("uid"), kind.alias("kind"), F.array_distinct(T.words(F.col("text"))).alias("grams")))
 
 
@@ -230,7 +206,7 @@ def _scores(spark, sf_dir) -> DataFrame:
  FROM (SELECT d, u, coalesce(contain, 0) AS contain, coalesce(idf, 0) AS idf, coalesce(tfidf, 0) AS tfidf FROM con FULL JOIN idf USING (d, u) FULL JOIN tf USING (d, u)))
 SELECT d AS doc_id, u AS item_id FROM r WHERE a <= 5 OR b <= 5 OR c <= 5""")
 def recall_topk_union(spark, sf_dir):
-    return discovery.recalled(_scores(spark, sf_dir), ["contain", "idf", "tfidf"], 5).select(F.col("d").alias("doc_id"), F.col("u").alias("item_id"))
+    return discovery.recalled(cut(_scores(spark, sf_dir)), ["contain", "idf", "tfidf"], 5).select(F.col("d").alias("doc_id"), F.col("u").alias("item_id"))
 
 
 def _decisions(spark, sf_dir) -> DataFrame:
@@ -339,10 +315,12 @@ def median_filter(spark, sf_dir):
     return units.upper_median_filter(rows, ["source"], "n_chars").select("source", "doc_id", "n_chars")
 
 
-@query("""SELECT source, lang, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT DISTINCT source, lang, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY source, lang""")
+@query(f"""WITH l AS (SELECT source, doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS s FROM documents)),
+ f AS (SELECT source, doc_id, i, line, row_number() OVER (PARTITION BY source, line ORDER BY doc_id, i) AS n FROM (SELECT source, doc_id, i, {STRIPPED('line')} AS line FROM l) WHERE line <> '')
+SELECT source, md5(string_agg(line, chr(10) ORDER BY doc_id, i)) AS merged_md5 FROM f WHERE n = 1 GROUP BY source""")
 def dup_merge(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''").distinct()
-    return lines.groupBy("source", "lang").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda p: p["text"]).alias("parts"))
+    return docs.select("source", F.md5(units.merged_lines(F.col("parts")).cast("binary")).alias("merged_md5"))
 
 
 _LINES = "l AS MATERIALIZED (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -425,15 +403,17 @@ def forward_coverage(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A table of first line items, and discoveries of orders: keys modulo 3 and 5 are missing on one side."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 <> 0")
-    known = rows.select(F.col("l_orderkey").alias("core"), (F.col("l_linenumber") * F.lit(10**8) + F.col("l_partkey")).cast("long").alias("ord"), F.lit("up").alias("upstream_doc"), F.concat(F.lit("<X-A"), F.col("l_partkey") % 10, F.lit(">")).alias("upstream_ref"), F.lit("table").alias("relation_source"), F.lit("").alias("evidence"))
-    found = table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("core"), F.lit("up").alias("main_doc"), F.lit("item").alias("main_kind"), F.concat(F.lit("<B-A0"), F.col("o_custkey") % 10, F.lit(">")).alias("main_key"), F.lit(0.5).alias("main_score"))
+    """A table of line items, and discoveries of orders; a third and a fifth of the orders have keys that the other side lacks."""
+    rows = table(spark, sf_dir, "lineitem")
+    core = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 3 == 0, 10**9).otherwise(0)
+    known = rows.select(core.alias("core"), (F.col("l_linenumber") * F.lit(10**8) + F.col("l_partkey")).cast("long").alias("ord"), F.lit("up").alias("upstream_doc"), F.concat(F.lit("<X-A"), F.col("l_partkey") % 10, F.lit(">")).alias("upstream_ref"), F.lit("table").alias("relation_source"), F.lit("").alias("evidence"))
+    main = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 5 == 0, 2 * 10**9).otherwise(0)
+    found = table(spark, sf_dir, "orders").select(main.alias("core"), F.lit("up").alias("main_doc"), F.lit("item").alias("main_kind"), F.concat(F.lit("<B-A0"), F.col("o_custkey") % 10, F.lit(">")).alias("main_key"), F.lit(0.5).alias("main_score"))
     return known, found
 
 
-_KNOWN = "known AS (SELECT l_orderkey AS core, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey AS ord, l_partkey % 10 AS part FROM lineitem WHERE l_orderkey % 3 <> 0)"
-_FOUND = "found AS (SELECT o_orderkey AS core, o_custkey % 10 AS main FROM orders WHERE o_orderkey % 5 <> 0)"
+_KNOWN = "known AS (SELECT l_orderkey + CASE WHEN l_orderkey % 3 = 0 THEN 1000000000 ELSE 0 END AS core, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey AS ord, l_partkey % 10 AS part FROM lineitem)"
+_FOUND = "found AS (SELECT o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 2000000000 ELSE 0 END AS core, o_custkey % 10 AS main FROM orders)"
 
 
 @query(f"WITH {_KNOWN}, {_FOUND} SELECT core, '[added] ' AS evidence, 'hybrid' AS relation_source FROM found WHERE core NOT IN (SELECT core FROM known)")
@@ -469,7 +449,7 @@ def _levels(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", matrix.union_levels([F.transform("at", level(k)) for k in range(3)]).alias("levels"))
 
 
-_LEVELS = "lv AS MATERIALIZED (SELECT doc_id, pos, max(CASE WHEN (pos + doc_id) % (5 + k) = 0 THEN 3 WHEN (pos + k) % 3 = 0 THEN 2 ELSE 1 END) AS level FROM (SELECT doc_id, unnest(range(0, least(length(text), 40))) AS pos FROM documents), range(0, 3) r(k) GROUP BY doc_id, pos)"
+_LEVELS = "lv AS MATERIALIZED (SELECT doc_id, pos, max(CASE WHEN (pos + doc_id) % (5 + k) = 0 THEN 3 WHEN (pos + k) % 3 = 0 THEN 2 ELSE 1 END) AS level FROM (SELECT doc_id, unnest(range(0, length(text))) AS pos FROM documents), range(0, 3) r(k) GROUP BY doc_id, pos)"
 
 
 @query(f"""WITH {_LEVELS} SELECT doc_id, CASE level WHEN 3 THEN 'GREEN' WHEN 2 THEN 'BLUE' ELSE 'BLACK' END AS category, CAST(min(pos) AS BIGINT) AS start, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, level ORDER BY pos) AS i FROM lv) GROUP BY doc_id, level, i""")
@@ -500,11 +480,11 @@ def color_distance(spark, sf_dir):
     return compare.colour_distance(side("en"), side("de"), ["source"]).select("source", six(F.col("distance")).alias("distance"), "level")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, base, result, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN base IS NOT DISTINCT FROM result THEN 'same' ELSE 'changed' END AS kind FROM (SELECT o_orderkey AS k, o_orderpriority AS base FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE o_orderpriority END AS result FROM orders WHERE o_orderkey % 11 <> 0) b ON a.k = b.k""")
+@query("""SELECT coalesce(a.k, b.k) AS k, base, result, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN base IS NOT DISTINCT FROM result THEN 'same' ELSE 'changed' END AS kind FROM (SELECT o_orderkey + CASE WHEN o_orderkey % 7 = 0 THEN 1000000000 ELSE 0 END AS k, o_orderpriority AS base FROM orders) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE o_orderpriority END AS result FROM orders) b ON a.k = b.k""")
 def cell_diff(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("value"))
-    changed = orders.filter("k % 11 <> 0").withColumn("value", F.when(F.col("k") % 4 == 0, "x").otherwise(F.col("value")))
-    return compare.cell_diff(orders.filter("k % 7 <> 0"), changed, ["k"])
+    moved = orders.withColumn("k", F.col("k") + F.when(F.col("k") % 7 == 0, 10**9).otherwise(0))
+    return compare.cell_diff(moved, orders.withColumn("value", F.when(F.col("k") % 4 == 0, "x").otherwise(F.col("value"))), ["k"])
 
 
 @query("""SELECT user_id, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS mismatches FROM (SELECT user_id, pos, sum(CASE WHEN p IS NULL OR pos - p > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) AS s FROM (SELECT user_id, pos, lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS p FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events) WHERE event_type <> 'view')) GROUP BY user_id, s""")
@@ -515,14 +495,14 @@ def mismatch_segments(spark, sf_dir):
 
 
 def _gold(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Line items ranked by price within an order as candidates; parts in a third of the classes as gold."""
-    ranked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("u"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
-    gold = ranked.filter("u % 3 = 0").select("d", "u").unionByName(ranked.filter("u % 50 = 1").select("d", (-F.col("u")).alias("u")))
-    return ranked, gold
+    """Line items as candidates of their orders; returned ones are gold, and relations of the highest tax are gold without a candidate."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("u"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), "l_returnflag", "l_tax")
+    gold = rows.filter("l_returnflag = 'R'").select("d", "u").unionByName(rows.filter("l_tax >= 0.075").select("d", (-F.col("u")).alias("u")))
+    return rows.drop("l_returnflag", "l_tax"), gold
 
 
-_CAND = "c AS MATERIALIZED (SELECT l_orderkey AS d, l_partkey * 10 + l_linenumber AS u, l_quantity AS a, l_discount AS b FROM lineitem)"
-_GOLD = "g AS MATERIALIZED (SELECT DISTINCT d, u FROM (SELECT d, u FROM c WHERE u % 3 = 0 UNION ALL SELECT d, -u FROM c WHERE u % 50 = 1))"
+_CAND = "c AS MATERIALIZED (SELECT l_orderkey AS d, l_partkey * 10 + l_linenumber AS u, l_quantity AS a, l_discount AS b, l_returnflag, l_tax FROM lineitem)"
+_GOLD = "g AS MATERIALIZED (SELECT DISTINCT d, u FROM (SELECT d, u FROM c WHERE l_returnflag = 'R' UNION ALL SELECT d, -u FROM c WHERE l_tax >= 0.075))"
 
 
 @query(f"""WITH {_CAND}, {_GOLD}, r AS (SELECT d, u, row_number() OVER (PARTITION BY d ORDER BY a DESC, u) AS rank FROM c)
