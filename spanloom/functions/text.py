@@ -201,11 +201,19 @@ def outermost_json(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def evidence(sem: Column, contain: Column, idf: Column, tfidf: Column, anchor: Column, hits: Column) -> Column:
-    """Channels of a candidate as text."""
-    shown = F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: F.substring(h, 1, 20)), "、")
-    scores = F.format_string("sem=%.2f contain=%.2f idf=%.2f tfidf=%.2f anchor=%.2f", sem, contain, idf, tfidf, anchor)
-    return F.when(F.size(hits) > 0, F.concat(scores, F.lit(" hits="), shown)).otherwise(scores)
+def evidence(sem: Column, contain: Column, idf: Column, anchor: Column, hits: Column, mismatch: Column, own: Column, other: Column) -> Column:
+    """Channels of a candidate as text, with class codes that exclude each other and up to three anchors."""
+    scores = F.format_string("语义%.2f 包含%.2f 稀有词%.2f 锚点%.2f", sem, contain, idf, anchor)
+    listed = lambda codes: F.when(F.size(codes) > 0, F.array_join(F.sort_array(codes), ", ")).otherwise("未声明")
+    classes = F.when(mismatch, F.concat(F.lit(" | 分级不符(下游"), listed(own), F.lit(" vs 候选"), listed(other), F.lit(")"))).otherwise("")
+    shown = F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: F.substring(strip(h), 1, 20)), "、")
+    return F.concat(scores, classes, F.when(F.size(hits) > 0, F.concat(F.lit(" | 锚点: "), shown)).otherwise(""))
+
+
+def untraced_evidence(references: Column) -> Column:
+    """The best candidates of a unit without relations, as text; ``references`` is an array of doc, key and score."""
+    shown = F.array_join(F.transform(references, lambda r: F.concat(r["doc"], F.lit(":"), F.substring(r["key"], 1, 24), F.format_string("(%.2f)", r["score"]))), "; ")
+    return F.when(F.size(references) > 0, F.concat(F.lit("UNTRACED | 参考候选: "), shown)).otherwise("UNTRACED")
 
 
 def page_text(text: Column) -> Column:

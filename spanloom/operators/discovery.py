@@ -189,7 +189,11 @@ def final_scores(pairs: DataFrame, down: DataFrame, up: DataFrame, graph: DataFr
     mismatch = T.class_mismatch(F.col("dc"), F.col("uc"))
     base = V.fused(F.col(semantics), F.col("contain"), F.col("idf"), F.col("tfidf"), mask, o) * F.when(mismatch, o.class_penalty).otherwise(1.0)
     score = V.boosted(base, F.col("anchor"), F.col("kind") == "item", o)
-    return joined.withColumns({"score": score, "mismatch": mismatch}).drop("dc", "uc", "parent")
+    found = joined.withColumns({"score": score, "mismatch": mismatch})
+    if "anchor_hits" in pairs.columns:
+        told = T.evidence(F.col(semantics), F.col("contain"), F.col("idf"), F.col("anchor"), F.coalesce("anchor_hits", F.array().cast("array<string>")), F.col("mismatch"), F.col("dc"), F.col("uc"))
+        found = found.withColumn("evidence", told)
+    return found.drop("dc", "uc", "parent")
 
 
 def folded(scored: DataFrame, graph: DataFrame, o: DiscoveryOptions = DiscoveryOptions()) -> DataFrame:
@@ -215,7 +219,7 @@ def decided(ranked: DataFrame, down: DataFrame, o: DiscoveryOptions = DiscoveryO
     related = (F.col("main") >= o.theta) & ((F.col("rank") == 1) | (F.col("score") >= F.greatest(F.lit(o.theta), o.secondary_ratio * F.col("main"))))
     place = F.sum(related.cast("int")).over(Window.partitionBy("d").orderBy("rank"))
     chosen = marked.withColumn("related", related & (place <= o.max_relations))
-    row = F.struct("rank", "u", "score")
+    row = F.struct("rank", "u", "score", *(["evidence"] if "evidence" in ranked.columns else []))
     grouped = chosen.groupBy("d").agg(
         F.sort_array(F.collect_list(F.when(F.col("related"), row))).alias("relations"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= o.reference_k, row))).alias("references"),
@@ -247,7 +251,7 @@ def discover(down: DataFrame, up: DataFrame, o: DiscoveryOptions = DiscoveryOpti
     coarse = cut(final_scores(lexical.join(sem, ["d", "u"]), down, up, graph, replace(o, class_penalty=1.0)))
     best = recalled(coarse, ["sem", "contain", "idf", "tfidf", "anchor"], o.recall_k).select("d", "u").unionByName(recalled(coarse, ["score"], o.coarse_k).select("d", "u")).distinct()
     inside = best.join(graph, F.col("u") == F.col("section")).select("d", F.col("item").alias("u"))
-    candidates = cut(coarse.join(best.unionByName(inside).distinct(), ["d", "u"], "left_semi").drop("score", "mismatch", "kind"))
+    candidates = cut(coarse.join(best.unionByName(inside).distinct(), ["d", "u"], "left_semi").drop("score", "mismatch", "kind", "evidence"))
     fine = asymmetric_semantics(candidates, sentence_vectors(down, encoder), sentence_vectors(up, encoder), o.cover_tau)
     scored = final_scores(candidates.join(fine, ["d", "u"]), down, up, graph, o, "fine")
     return decided(folded(cut(scored), graph, o), down, o)

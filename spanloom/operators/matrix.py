@@ -30,11 +30,20 @@ def category_at(level: Column) -> Column:
 
 
 def rows_of_decisions(decisions: DataFrame, down: DataFrame, up: DataFrame, source: str = "discover") -> DataFrame:
-    """[X3] A row for each relation of a decision, or one without upstream; rows of one unit share ``seq``."""
+    """[X3, N22] A row for each relation of a decision, or one without upstream; rows of one unit share ``seq``.
+
+    The evidence is the relation's, or names the best candidates where there is none.
+    """
     d = down.select(F.col("uid").alias("d"), F.col("doc").alias("downstream_doc"), F.col("key").alias("downstream_id"), F.col("content").alias("downstream_content"), F.col("ord").alias("unit_ord"))
     u = up.select(F.col("uid").alias("u"), F.col("doc").alias("upstream_doc"), F.col("key").alias("upstream_ref"), F.col("content").alias("upstream_content"), F.col("kind").alias("upstream_kind"))
-    flat = decisions.select("d", "status", "ambiguous", F.explode_outer("relations").alias("r")).select("d", "status", "ambiguous", F.col("r.rank").alias("rank"), F.col("r.u").alias("u"), F.coalesce("r.score", F.lit(0.0)).alias("candidate_score"))
-    joined = flat.join(d, "d").join(u, "u", "left")
+    told = "evidence" in decisions.schema["relations"].dataType.elementType.fieldNames()
+    evidence = F.col("r.evidence") if told else F.format_string("score=%.2f", F.col("r.score"))
+    flat = decisions.select("d", "status", "ambiguous", F.explode_outer("relations").alias("r")).select("d", "status", "ambiguous", F.col("r.rank").alias("rank"), F.col("r.u").alias("u"), F.coalesce("r.score", F.lit(0.0)).alias("candidate_score"), evidence.alias("evidence"))
+    open_ = decisions.filter("status = 'untraced'").select("d", F.explode("references").alias("r")).select("d", "r.rank", "r.u", "r.score").join(u, "u")
+    named = open_.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("upstream_doc").alias("doc"), F.col("upstream_ref").alias("key"), "score"))).alias("best"))
+    joined = flat.join(d, "d").join(u, "u", "left").join(named, "d", "left")
+    none = F.array().cast("array<struct<rank:int,doc:string,key:string,score:double>>")
+    joined = joined.withColumn("evidence", F.coalesce("evidence", F.when(F.col("status") == "untraced", T.untraced_evidence(F.coalesce("best", none))), F.lit(""))).drop("best")
     seq = F.dense_rank().over(Window.partitionBy("downstream_doc").orderBy("unit_ord", "d"))
     filled = {c: F.coalesce(c, F.lit("")) for c in ("upstream_doc", "upstream_ref", "upstream_content")}
     return joined.withColumns(filled | {"seq": seq, "relation_source": F.lit(source)})

@@ -18,6 +18,7 @@ SECTION_LINE = r"(?m)^(\d+(?:\.\d+)*\.?)\s*([一-鿿A-Z][^\n]*)"
 CONTENTS_LINE = r"^(?:\d+(?:\.\d+)*\.?)\s*[一-鿿A-Za-z].{0,40}?(?:(?:\.{2,}|[ \t]{2,})\s*\d+(?:-\d+)?[ \t]*)$"
 GENERIC_TITLES = "概述|要求|功能|描述|简介|综述|规则|准则|说明|意义|目的|范围|组成|结构|原理|故障诊断|模块类|系统级|总体|通用"
 DIAGRAM_SIGNS = "[│├└┌┐┘┬┴┼─┤╔╗╚╝║═╠╣╦╩╬→←↑↓▲▼►◄]"
+LISTED_LINE = r"^\s*(?:[-•●·○■□►◆]\s*|\d+[)）.]\s*|[a-zA-Z][)）]\s*)"
 _HEADING = r"(?:\d+(?:\.\d+)+\.?[ \t]*[一-鿿A-Za-z].{0,40}|\d+(?:\.\d+)+\.?[ \t]*(?=\n)|\d+\.?[ \t]+[一-鿿A-Za-z].{0,40}|[一-鿿]{2,25}[（(][A-Za-z][A-Za-z0-9/\-,]*[)）])"
 TRAILING_HEADINGS = rf"\n+{_HEADING}(?:\n+{_HEADING})*\s*$"
 TRAILING_SUBTITLE = r"(?:\n+|(?<=[。．.]))[一-鿿]{2,20}[（(][A-Za-z][A-Za-z0-9/\-,]*[)）]\s*$"
@@ -223,9 +224,10 @@ def units(docs: DataFrame, role: str = "upstream") -> DataFrame:
 
 
 def repeated_lines(lines: DataFrame, group: list[str], page: str, line: str, share: float = 0.35, span: float = 0.7, most: int = 60) -> DataFrame:
-    """[F8] Short lines that recur over a group's pages, as running heads do: ``group``, ``line``, ``pages``."""
+    """[F8] Short lines that recur over a group's pages, as running heads do: ``group``, ``line``, ``pages``. List items, ids and sentences don't count."""
     pages = lines.groupBy(*group).agg(F.countDistinct(page).alias("n"), (F.max(page) - F.min(page)).alias("extent"))
-    short = lines.filter((F.length(line) <= most) & (F.length(line) > 0) & ~F.col(line).rlike("[。！？；，、]$"))
+    plain = ~F.col(line).rlike(LISTED_LINE) & ~F.col(line).rlike(T.ITEM_ID) & ~F.col(line).rlike("[。！？；，、]$")
+    short = lines.filter((F.length(line) <= most) & (F.length(line) > 0) & plain)
     seen = short.groupBy(*group, line).agg(F.countDistinct(page).alias("pages"), (F.max(page) - F.min(page)).alias("reach"))
     enough = (F.col("n") >= 3) & (F.col("pages") >= F.greatest(F.lit(3), F.floor(share * F.col("n")))) & (F.col("reach") >= F.greatest(F.lit(1), F.floor(span * F.col("n"))))
     return seen.join(pages, group).filter(enough).select(*group, line, "pages")

@@ -327,7 +327,7 @@ _LINES = "l AS MATERIALIZED (SELECT source, doc_id AS page, unnest(string_split(
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT source, count(DISTINCT page) AS n FROM l GROUP BY source),
- s AS (SELECT source, line, count(DISTINCT page) AS pages, max(page) - min(page) AS reach FROM l WHERE length(line) BETWEEN 1 AND 60 AND NOT regexp_matches(line, '[。！？；，、]$') GROUP BY source, line)
+ s AS (SELECT source, line, count(DISTINCT page) AS pages, max(page) - min(page) AS reach FROM l WHERE length(line) BETWEEN 1 AND 60 AND NOT regexp_matches(line, '[。！？；，、]$') AND NOT regexp_matches(line, '{units.LISTED_LINE}') AND NOT regexp_matches(line, '{T.ITEM_ID}') GROUP BY source, line)
 SELECT source, line, pages FROM s JOIN p USING (source) WHERE n >= 3 AND pages >= greatest(3, floor(0.02 * n)) AND reach >= greatest(1, floor(0.1 * n))""")
 def repeat_line_filter(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
