@@ -37,7 +37,7 @@ def rows_of_decisions(decisions: DataFrame, down: DataFrame, up: DataFrame, sour
     d = down.select(F.col("uid").alias("d"), F.col("doc").alias("downstream_doc"), F.col("key").alias("downstream_id"), F.col("content").alias("downstream_content"), F.col("ord").alias("unit_ord"))
     u = up.select(F.col("uid").alias("u"), F.col("doc").alias("upstream_doc"), F.col("key").alias("upstream_ref"), F.col("content").alias("upstream_content"), F.col("kind").alias("upstream_kind"))
     told = "evidence" in decisions.schema["relations"].dataType.elementType.fieldNames()
-    evidence = F.col("r.evidence") if told else F.format_string("score=%.2f", F.col("r.score"))
+    evidence = F.col("r.evidence") if told else F.when(F.col("r.score").isNotNull(), F.format_string("score=%.2f", F.col("r.score")))
     flat = decisions.select("d", "status", "ambiguous", F.explode_outer("relations").alias("r")).select("d", "status", "ambiguous", F.col("r.rank").alias("rank"), F.col("r.u").alias("u"), F.coalesce("r.score", F.lit(0.0)).alias("candidate_score"), evidence.alias("evidence"))
     open_ = decisions.filter("status = 'untraced'").select("d", F.explode("references").alias("r")).select("d", "r.rank", "r.u", "r.score").join(u, "u")
     named = open_.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("upstream_doc").alias("doc"), F.col("upstream_ref").alias("key"), "score"))).alias("best"))
@@ -97,7 +97,7 @@ def hybrid_consensus(table: DataFrame, relations: DataFrame, statuses: DataFrame
     same = lambda r: (F.col("upstream_ref") != "") & (F.col("upstream_doc") == r["doc"]) & _matches(F.col("upstream_ref"), F.col("_core"), r["kind"], r["key"], r["core_of_key"])
     marked = marked.withColumn("_hit", F.get(F.filter("rels", same), F.lit(0)))
     outcome = F.when(F.col("status").isNull(), None).when(F.col("status") != "traced", "untraced").when(F.col("_hit.rank") == 1, "agree").when(F.col("_hit.rank") > 1, "secondary").otherwise("unsupported")
-    note = F.when(F.col("consensus") == "untraced", F.concat(F.lit("发现层未溯源"), F.coalesce(F.format_string("(%.2f)", "best"), F.lit("")))).when(F.col("consensus") == "agree", F.format_string("发现层一致(%.2f)", "_hit.score")).when(F.col("consensus") == "secondary", "发现层次要支持").when(F.col("consensus") == "unsupported", "发现层未支持")
+    note = F.when(F.col("consensus") == "untraced", F.concat(F.lit("发现层未溯源"), F.when(F.col("best").isNotNull(), F.format_string("(%.2f)", "best")).otherwise(""))).when(F.col("consensus") == "agree", F.format_string("发现层一致(%.2f)", "_hit.score")).when(F.col("consensus") == "secondary", "发现层次要支持").when(F.col("consensus") == "unsupported", "发现层未支持")
     return marked.withColumn("consensus", outcome).withColumn("evidence", F.concat_ws(" ", F.when(F.col("evidence") != "", F.col("evidence")), note)).drop("status", "best", "rels", "_core", "_hit")
 
 

@@ -361,19 +361,6 @@ def paragraph_cluster(spark, sf_dir):
 
 # ---- joins ------------------------------------------------------------------------------------
 
-_REFS = "refs AS (SELECT DISTINCT p_brand || ' ' || split_part(p_type, ' ', 1) AS ref FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'x ' || p_name FROM part WHERE p_partkey % 10 = 0)"
-
-
-@query(f"""WITH {_REFS}, keys AS (SELECT DISTINCT ON (p_name) p_name AS key, p_partkey AS ord FROM part ORDER BY p_name, p_partkey), n AS (SELECT ref, replace(ref, ' ', '') AS r FROM refs), kn AS (SELECT key, ord, replace(key, ' ', '') AS k FROM keys)
-SELECT ref, CAST(CASE WHEN e.key IS NOT NULL THEN 4 ELSE 5 END AS INTEGER) AS tier, coalesce(e.key, x.key) AS key FROM n LEFT JOIN keys e ON e.key = n.ref LEFT JOIN (SELECT ref AS ref2, arg_min(key, ord) AS key FROM n JOIN kn ON contains(k, r) OR contains(r, k) GROUP BY ref) x ON ref2 = ref WHERE coalesce(e.key, x.key) IS NOT NULL""")
-def tiered_resolve(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    first = F.concat_ws(" ", "p_brand", F.substring_index("p_type", " ", 1))
-    refs = part.select(first.alias("ref")).union(part.select("p_brand")).union(part.filter("p_partkey % 10 = 0").select(F.concat(F.lit("x "), "p_name"))).distinct().select(F.lit("x").alias("doc"), "ref")
-    keys = part.groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("ord")).select(F.lit("x").alias("doc"), F.lit("full").alias("key_kind"), "key", T.normal_reference(F.col("key")).alias("key_norm"), F.lit("text").alias("content"), "ord")
-    return relations.resolved(refs, keys).select("ref", "tier", "key")
-
-
 def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("upstream_content"), F.col("c_mktsegment").alias("upstream_doc"))
     rel = table(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 97 == 0, 10_000_000).otherwise(0)).alias("k"), F.col("o_orderpriority").alias("downstream_doc"), F.col("o_orderkey").cast("string").alias("downstream_id"))
@@ -566,6 +553,9 @@ def classify_case(spark, sf_dir):
     return rows.select("vec_id", category.alias("category"))
 
 
+from spanloom.plans import catalogue_documents  # noqa: E402, F401 - registers its queries
+
+
 # ---- procedures that SQL cannot express -------------------------------------------------------
 
 

@@ -37,7 +37,8 @@ def from_tables(rels: DataFrame, down: DataFrame, up: DataFrame, both_ways: bool
     if by_items:
         found = relations.resolved_by_chain(asked, keys, units.items(up))
     else:
-        found = relations.resolved(asked, keys).select("doc", "ref", "content")
+        asked = cut(asked.distinct())
+        found = cut(relations.resolved(asked, keys).select("doc", "ref", "content"))
         found = found.unionByName(relations.resolved_fuzzily(asked.join(found.select("doc", "ref"), ["doc", "ref"], "left_anti"), keys).select("doc", "ref", "content"))
     contents = found.select(F.col("doc").alias("upstream_doc"), F.col("ref").alias("upstream_ref"), F.col("content").alias("upstream_content"))
     rows = named.join(contents, ["upstream_doc", "upstream_ref"], "left")
