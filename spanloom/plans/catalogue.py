@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,11 +247,32 @@ def cosine_top(spark, sf_dir):
     return rows.groupBy("vec_id").agg(F.max_by("label", "c").alias("best"), six(F.max("c")).alias("cosine"))
 
 
-@query("""SELECT label, round(sqrt(sum(s * s)), 4) AS norm FROM (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE) * (1 + vec_id % 7)) / sum(1 + vec_id % 7) AS s FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label""")
+def _letters(texts: list[str]) -> np.ndarray:
+    """An encoder that SQL can express: how often each of eight letters occurs."""
+    return np.array([[text.count(c) for c in "abcdefgh"] for text in texts], "float32").reshape(-1, 8)
+
+
+def _letter_vectors(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("content"))
+    return discovery.unit_vectors(docs, _letters, 8)
+
+
+_LETTER_VECTORS = f"""pieces AS (SELECT doc_id, unnest(CASE WHEN length(text) <= 300 OR len(s) = 0 THEN [text] ELSE s END) AS p FROM (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。；;！!？?\n]+'), lambda x: {STRIPPED('x')}), lambda x: length(x) >= 4) AS s FROM documents)),
+ sums AS (SELECT doc_id, c, sum(greatest(length(p), 1) * (length(p) - length(replace(p, c, '')))) AS s FROM pieces, (SELECT unnest(string_split('abcdefgh', '')) AS c) GROUP BY doc_id, c),
+ vecs AS (SELECT doc_id, c, s / (sqrt(sum(s * s) OVER (PARTITION BY doc_id)) + 1e-9) AS x FROM sums)"""
+
+
+@query(f"WITH {_LETTER_VECTORS} SELECT doc_id, round(max(x) FILTER (WHERE c = 'a'), 6) AS a, round(max(x) FILTER (WHERE c = 'e'), 6) AS e, round(sum(x), 6) AS total FROM vecs GROUP BY doc_id")
 def weighted_mean_vec(spark, sf_dir):
-    w = 1 + F.col("vec_id") % 7
-    sums = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array(*(F.sum(F.col("embedding")[i].cast("double") * w) / F.sum(w) for i in range(64))).alias("v"))
-    return sums.select("label", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 4).alias("norm"))
+    v = F.col("vec")
+    return _letter_vectors(spark, sf_dir).select(F.col("uid").alias("doc_id"), six(v[0]).alias("a"), six(v[4]).alias("e"), six(F.aggregate(v, F.lit(0.0), lambda t, x: t + x)).alias("total"))
+
+
+@query(f"WITH {_LETTER_VECTORS} SELECT a.doc_id AS d, b.doc_id AS u, round(sum(a.x * b.x), 6) AS sem FROM vecs a JOIN vecs b ON b.doc_id = a.doc_id + 1 AND a.c = b.c GROUP BY a.doc_id, b.doc_id")
+def whole_cosine(spark, sf_dir):
+    vectors = cut(_letter_vectors(spark, sf_dir))
+    pairs = vectors.select(F.col("uid").alias("d"), (F.col("uid") + 1).alias("u"))
+    return discovery.whole_cosines(pairs, vectors, vectors).select("d", "u", six(F.col("sem")).alias("sem"))
 
 
 @query("""WITH e AS (SELECT vec_id, vec_id // 10 AS unit, 4 + vec_id % 9 AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -353,12 +375,6 @@ def heading_parent(spark, sf_dir):
     return layout.parents(rows, ["user_id"], "event_id", "level").select("event_id", "parent")
 
 
-@query("""SELECT user_id, count(*) AS paragraphs FROM (SELECT user_id, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 3600 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE fresh = 1 GROUP BY user_id""")
-def paragraph_cluster(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return layout.clusters(rows, ["user_id"], "at", 3600.0).groupBy("user_id").agg(F.max("cluster").alias("paragraphs"))
-
-
 # ---- joins ------------------------------------------------------------------------------------
 
 def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -553,7 +569,7 @@ def classify_case(spark, sf_dir):
     return rows.select("vec_id", category.alias("category"))
 
 
-from spanloom.plans import catalogue_documents  # noqa: E402, F401 - registers its queries
+from spanloom.plans import catalogue_documents, catalogue_layout  # noqa: E402, F401 - they register their queries
 
 
 # ---- procedures that SQL cannot express -------------------------------------------------------
