@@ -78,6 +78,33 @@ def test_filters_keep_columns(awkward, empty):
     assert redacted.columns == docs.columns and all(r.text is None or "abcdef123" not in r.text and r.n_chars == len(r.text) for r in rows)
 
 
+def test_stages_on_awkward_rows(spark, awkward, empty):
+    """Every stage of the pipeline takes nulls, repeats, long texts and other columns, and empty tables."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, SF)
+        rows = out.collect()
+        assert stage(spark, empty, SF).collect() == []
+        if name == "packing":
+            assert sorted({str(r.doc_id) for r in rows}) == sorted({str(row[0]) for row in AWKWARD}) and sum(r.piece == 0 for r in rows) == len(AWKWARD)
+            continue
+        assert tuple(out.columns) == corpus_pipeline.DOCUMENT_COLUMNS
+        kept = {"language": range(len(AWKWARD)), "toxicity": [9], "near_duplicates": [7], "secrets": [9]}[name]
+        assert len(rows) in kept and {(r.doc_id, r.text) for r in rows} <= {(row[0], row[1]) for row in AWKWARD}
+
+
+def test_packing_and_chat_on_awkward_rows(spark, awkward, empty):
+    rows = [(1, 0, "user", "a", 5, "x"), (1, 0, "user", "a", 5, "x"), (1, None, None, None, None, None), (None, 3, "tool", LONG, 1, "y"), (2, 1, "", "", 0, "")]
+    schema = "conv_id long, turn long, role string, text string, turns int, segments string"
+    got = {r.conv_id: r.n_turns for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {1: 3, None: 1, 2: 1}
+    clash = awkward.withColumns({"piece": F.lit("p"), "start": F.lit(1), "length": F.lit(-1), "sequence_id": F.lit("s"), "offset": F.lit(0)})
+    path = queries.vocabulary("byte_bpe_50k.json")
+    assert sum(r.piece == 0 for r in packing.pack_documents(clash, path).collect()) == len(AWKWARD)
+    assert packing.pack_documents(clash.limit(0), path).collect() == []
+
+
 def test_bpe_is_what_tiktoken_gives():
     path, pattern = queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.pre_token_pattern()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -292,6 +319,8 @@ def test_language_and_toxicity_on_the_held_out_fold(spark):
     scored = {r.doc_id: r for r in queries.op9_toxicity(spark, sf).collect()}
     labels = [(scored[r.doc_id], r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
     held = [(r.predicted, y) for r, y in labels if r.held_out]
+    toxic, clean = [p for p, y in held if y == 1], [p for p, y in held if y == 0]
+    assert np.mean(toxic) >= 0.5 and np.mean(clean) <= 0.05  # caught, and false alarms
     assert np.mean([p == y for p, y in held]) >= 0.9  # from 37 toxic documents in four languages
     assert all((r.score >= 0.3) == (r.predicted == 1) for r in scored.values())
 
