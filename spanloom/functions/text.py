@@ -80,16 +80,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def char_set_jaccard(a: Column, b: Column) -> Column:
-    a, b = normalised(a), normalised(b)
+def normal_char_set_jaccard(a: Column, b: Column) -> Column:
+    """Of texts in normal form."""
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(jaccard(F.array_distinct(characters(a)), F.array_distinct(characters(b))))
 
 
-def bigram_jaccard(a: Column, b: Column) -> Column:
-    a, b = normalised(a), normalised(b)
+def char_set_jaccard(a: Column, b: Column) -> Column:
+    return normal_char_set_jaccard(normalised(a), normalised(b))
+
+
+def normal_bigram_jaccard(a: Column, b: Column) -> Column:
+    """Of texts in normal form."""
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(jaccard(bigrams(a, True), bigrams(b, True)))
 
 
+def bigram_jaccard(a: Column, b: Column) -> Column:
+    return normal_bigram_jaccard(normalised(a), normalised(b))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Share of the shorter text's pairs of characters that the longer has; the first counts as shorter on a tie."""
     shorter = F.when(F.length(a) <= F.length(b), bigrams(a)).otherwise(bigrams(b))

@@ -46,7 +46,13 @@ def sentence_split(spark, sf_dir):
 def _adjacent(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(order).alias("a"), F.col("text").alias("b"))
-    return rows.filter(F.col("a").isNotNull())
+    # a set number of partitions, since much work on small texts would else be put into one
+    return rows.filter(F.col("a").isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+
+
+def _normal_pairs(spark, sf_dir) -> DataFrame:
+    """Both texts in normal form, as columns, so that nothing that reads them more than once makes it anew."""
+    return _adjacent(spark, sf_dir).select("conv_id", "turn", T.normalised(F.col("a")).alias("a"), T.normalised(F.col("b")).alias("b"))
 
 
 _ADJACENT = "(SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations) WHERE a IS NOT NULL)"
@@ -57,12 +63,12 @@ _LIKENESS = "SELECT conv_id, turn, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b
 
 @query(f"{_LIKENESS} (SELECT *, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM {_NORMAL_PAIRS})")
 def char_set_jaccard(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.char_set_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
+    return _normal_pairs(spark, sf_dir).select("conv_id", "turn", six(T.normal_char_set_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
 
 
 @query(f"{_LIKENESS} (SELECT *, {_BIGRAMS.format('a')} AS x, {_BIGRAMS.format('b')} AS y FROM {_NORMAL_PAIRS})")
 def bigram_jaccard(spark, sf_dir):
-    return _adjacent(spark, sf_dir).select("conv_id", "turn", six(T.bigram_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
+    return _normal_pairs(spark, sf_dir).select("conv_id", "turn", six(T.normal_bigram_jaccard(F.col("a"), F.col("b"))).alias("likeness"))
 
 
 @query(f"""SELECT conv_id, turn, round(len(list_intersect(x, y)) / len(CASE WHEN la <= lb THEN x ELSE y END), 6) AS contained
@@ -447,7 +453,9 @@ def hybrid_consensus(spark, sf_dir):
 
 def _levels(spark, sf_dir) -> DataFrame:
     """Every character of each document, coloured by each of three rules: its highest level, as an array by position."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", F.sequence(F.lit(0), F.length("text") - 1).alias("at"))
+    lengths = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).filter("n > 0")
+    # lengths alone are dealt out, so that files of many texts don't each become one task
+    docs = lengths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.sequence(F.lit(0), F.col("n") - 1).alias("at"))
     level = lambda k: lambda pos: F.when((pos + F.col("doc_id")) % (5 + k) == 0, 3).when((pos + k) % 3 == 0, 2).otherwise(1)
     return docs.select("doc_id", matrix.union_levels([F.transform("at", level(k)) for k in range(3)]).alias("levels"))
 
