@@ -130,16 +130,17 @@ def union_levels(colourings: list[Column]) -> Column:
 
 
 def stretches(rows: DataFrame, keys: list[str], levels: str) -> DataFrame:
-    """[A6] Arrays of levels by position as stretches of one level: keys, ``start``, ``length``, ``level``; without a shuffle.
+    """[A6] Arrays of levels by position as stretches of one level: keys, which tell rows apart, ``start``, ``length``, ``level``.
 
-    Each step names its arrays as columns, so that no lambda evaluates one anew for each position.
+    Positions become rows, sorted within each key, and only those where a stretch begins go on; rows
+    that are already dealt out by the keys are not shuffled.
     """
-    row = lambda start, level: F.struct(start.alias("start"), level.alias("level"))
-    placed = rows.select(*keys, F.size(levels).alias("n"), F.transform(levels, lambda x, i: row(i, x)).alias("at"), F.concat(F.array(F.lit(0)), levels).alias("before"))
-    starts = placed.select(*keys, "n", F.filter(F.zip_with("at", F.slice("before", 1, F.col("n")), lambda x, b: F.when(x["level"] != b, x)), lambda x: x.isNotNull()).alias("starts"))
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(row(F.col("n"), F.lit(0))))
-    runs = F.zip_with("starts", ends, lambda a, b: F.struct(a["start"].alias("start"), (b["start"] - a["start"]).alias("length"), a["level"].alias("level")))
-    return starts.filter("n > 0").select(*keys, runs.alias("runs")).select(*keys, F.inline("runs"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    placed = rows.select(*keys, F.size(levels).alias("n"), F.posexplode(levels).alias("start", "level"))
+    before = F.lag("level").over(order)
+    begins = placed.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("level")))
+    length = F.coalesce(F.lead("start").over(order), F.col("n")) - F.col("start")
+    return begins.select(*keys, "start", length.alias("length"), "level")
 
 
 def dominant(green: Column, blue: Column) -> Column:
