@@ -192,6 +192,12 @@ def visible_lines(text: Column, column_width: int) -> Column:
     return F.greatest(F.lit(1), F.aggregate(each, F.lit(0), lambda a, b: a + b))
 
 
+def generous_lines(text: Column, column_width: int) -> Column:
+    """[K4] Lines that a cell of a backward sheet gets: a seventh more for long texts, since words wrap early; null as empty."""
+    n = visible_lines(F.coalesce(text, F.lit("")), column_width)
+    return F.greatest(n, F.floor(n * F.lit(1.15)).cast("int") + (n > 3).cast("int"))
+
+
 def html_escaped(text: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>")):
         text = F.replace(text, F.lit(sign), F.lit(entity))

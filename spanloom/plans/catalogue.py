@@ -94,6 +94,11 @@ def visible_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", long(T.visible_lines(F.col("text"), 50)).alias("visible_lines"))
 
 
+@query(r"""SELECT doc_id, greatest(n, CAST(floor(n * CAST(1.15 AS DOUBLE)) AS BIGINT) + CASE WHEN n > 3 THEN 1 ELSE 0 END) AS generous_lines FROM (SELECT doc_id, CAST(list_sum(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: greatest(1, CAST(ceil((length(l) + length(regexp_replace(l, '[\x00-\x7F]', '', 'g'))) / 53) AS BIGINT)))) AS BIGINT) AS n FROM documents)""")
+def generous_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", long(T.generous_lines(F.col("text"), 55)).alias("generous_lines"))
+
+
 @query(r"""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')) AS escaped_md5 FROM pages""")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_escaped(F.col("html")).cast("binary")).alias("escaped_md5"))

@@ -34,3 +34,29 @@ def test_shared_strings_and_styles(spark):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="2"><c r="A2" s="1" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="AA2" s="2"><v>3.5</v></c><c r="D2"/></row></sheetData></worksheet>')
     cells, _ = workbooks.workbook_cells(spark.createDataFrame([("c.xlsx", bytearray(out.getvalue()))], "path string, content binary"))
     assert sorted((r.letter, r.text, r.category) for r in cells.collect()) == [("A", "plain", "GREEN"), ("AA", "3.5", "BLACK"), ("B", "rich", "BLUE")]
+
+
+def test_backward_workbooks_read_back(spark):
+    cols = "downstream_doc string, seq long, downstream_id string, downstream_content string, upstream_doc string, upstream_ref string, upstream_content string, relation_source string, candidate_score double, evidence string, ambiguous boolean, down_runs array<struct<text:string,category:string>>"
+    green, blue = [("内容一", "BLACK"), ("尾", "GREEN")], [("内", "BLUE"), ("容一尾", "BLACK")]
+    rows = [
+        ("甲", 1, "<D1>", "内容一尾", "需求", "<U1>", "长" * 100, "table", 0.0, "", False, green),
+        ("甲", 1, "<D1>", "内容一尾", "需求", "<U2>", "\x01短", "discover", 0.456, "e", True, blue),
+        ("甲", 2, "<D2>", None, "需求", "<U3>", "", "hybrid", 0.0, None, False, None),
+        ("乙", 1, "<D3>", "丙", "需求", "<U4>", "x", "table", 0.9, "", None, None),
+    ]
+    made = writers.backward_workbooks(spark.createDataFrame(rows, cols)).cache()
+    assert {r.downstream_doc: r.sheet for r in made.collect()} == {"甲": "甲", "乙": "乙"}
+    cells, errors = workbooks.workbook_cells(made.select(made.downstream_doc.alias("path"), "content"))
+    assert errors.count() == 0
+    got = {(r.path, r.letter, r.row_no): r for r in cells.collect()}
+    assert got["甲", "K", 2].text == "待人工确认"
+    assert [(r.text, r.category) for r in got["甲", "C", 2].runs] == [("内", "BLUE"), ("容一", "BLACK"), ("尾", "GREEN")]
+    assert {c.text for k, c in got.items() if k[1] == "I" and k[2] > 1} == {"0.46"}
+    saved = {(r.downstream_id, r.upstream_ref, r.downstream_content) for r in workbooks.saved_rows(cells).collect()}
+    assert {("<D1>", "<U1>", "内容一尾"), ("<D1>", "<U2>", "内容一尾"), ("<D3>", "<U4>", "丙")} <= saved
+    with zipfile.ZipFile(io.BytesIO(made.filter("downstream_doc = '甲'").first().content)) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert '<mergeCell ref="C2:C3"/>' in sheet and '<col min="6" max="6" width="70" customWidth="1"/>' in sheet
+    # 200 columns in 68 make 3 lines, so 3 * 17 + 4; one line of the rest
+    assert 'ht="55"' in sheet and 'ht="21"' in sheet
