@@ -85,6 +85,51 @@ def heading_levels(headings: DataFrame, most: int = 6) -> DataFrame:
     return headings.withColumn("level", F.least(rank, F.lit(most)))
 
 
+# Parts of names of fonts for Chinese.
+CHINESE_FONTS = ("GBK", "Song", "Hei", "Kai", "FZ", "ST", "Sim", "Fang", "GB")
+
+
+def font_signatures(lines: DataFrame) -> DataFrame:
+    """[A13] How often each document uses each font, size and weight: ``doc``, ``font_name``, ``font_size``, ``bold``, ``times``."""
+    return lines.groupBy("doc", "font_name", F.round("font_size", 1).alias("font_size"), "bold").agg(F.count("*").alias("times"))
+
+
+def signature_levels(signatures: DataFrame, most: int = 6) -> DataFrame:
+    """[A13, G3] Signatures that head, with ``level``: those unlike the body's, which is the most frequent one, and rarer.
+
+    Much larger ones always head; others unless they are frequent, where Chinese text sets another Chinese font
+    aside up to ten times or the body's count. A level begins where size (by a point), weight or, in Chinese text, the font changes.
+    """
+    name, size = F.col("font_name"), F.col("font_size")
+    chinese = lambda c: c.rlike(f"[{T.CJK}]|" + "|".join(CHINESE_FONTS))
+    by_use = Window.partitionBy("doc").orderBy(F.desc("times"), F.desc("font_size"), "font_name", "bold")
+    body = signatures.withColumn("_n", F.row_number().over(by_use)).filter("_n = 1").select("doc", F.col("font_name").alias("bf"), F.coalesce("font_size", F.lit(0.0)).alias("bs"), F.col("bold").alias("bb"), F.col("times").alias("bt"), chinese(F.col("font_name")).alias("cjk"))
+    both = signatures.join(body, "doc")
+    other = (name != F.col("bf")) | (size != F.col("bs")) | (F.col("bold") != F.col("bb"))
+    unlike = (size > F.col("bs") + 0.5) | (F.col("bold") != F.col("bb")) | (name != F.col("bf"))
+    rare = F.when(F.col("cjk") & (name != F.col("bf")) & chinese(name), F.col("times") < F.greatest(F.lit(10), F.col("bt"))).otherwise(F.col("times") < F.greatest(F.lit(5), F.floor(F.col("bt") * 0.5)))
+    heads = both.filter(other & unlike & (size >= F.col("bs") - 2) & ((size >= F.col("bs") + 1.5) | rare))
+    shown = heads.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("font_size"), F.desc("bold"), F.when(F.col("cjk"), F.col("times")).otherwise(-F.col("times")), "font_name")))
+    # a level is compared with the signature that began it, so a document's few signatures are folded in order
+    listed = shown.groupBy("doc", "cjk").agg(F.sort_array(F.collect_list(F.struct("rank", "font_name", "font_size", "bold", "times"))).alias("s"))
+    state = "struct<level:int,font_name:string,font_size:double,bold:boolean,out:array<struct<font_name:string,font_size:double,bold:boolean,times:bigint,level:int>>>"
+    none = F.struct(F.lit(0).alias("level"), F.lit(None).alias("font_name"), F.lit(None).alias("font_size"), F.lit(None).alias("bold"), F.array().alias("out")).cast(state)
+
+    def add(a: Column, x: Column) -> Column:
+        fresh = (a["level"] == 0) | (F.abs(x["font_size"] - a["font_size"]) >= 1) | (x["bold"] != a["bold"]) | (F.col("cjk") & (x["font_name"] != a["font_name"]))
+        level = a["level"] + fresh.cast("int")
+        of = lambda c: F.when(fresh, x[c]).otherwise(a[c]).alias(c)
+        one = F.struct(*(x[c].alias(c) for c in ("font_name", "font_size", "bold", "times")), level.alias("level"))
+        return F.struct(level.alias("level"), of("font_name"), of("font_size"), of("bold"), F.concat(a["out"], F.array(one)).alias("out")).cast(state)
+
+    return listed.select("doc", F.explode(F.aggregate("s", none, add)["out"]).alias("s")).select("doc", "s.*").filter(F.col("level") <= most)
+
+
+def outline(blocks: DataFrame) -> DataFrame:
+    """[G3] Headings in reading order: ``doc``, ``page``, ``order``, ``level``, ``title``."""
+    return blocks.filter("kind = 'heading'").select("doc", "page", "order", "level", T.strip(F.col("text")).alias("title"))
+
+
 def heading_evidence(lines: DataFrame, body: DataFrame) -> DataFrame:
     """[F16, N25] Lines that may be headings: numbered, larger than the body by 2 points, bold capitals, or centred and larger."""
     joined = lines.join(body.select("doc", "body_size", "width"), "doc")
@@ -134,8 +179,8 @@ def figure_bands(blocks: DataFrame, least_blocks: int = 12, least_bands: int = 4
 
 def stream_rows(words: DataFrame, top: float = 3.0, field_gap: float = 6.0) -> DataFrame:
     """[S15] Words as rows of fields: ``doc``, ``page``, ``row``, ``cells``; a gap above ``field_gap`` parts fields."""
-    rows = words.withColumn("row", F.floor(F.col("y0") / top))
-    order = Window.partitionBy("doc", "page", "row").orderBy("x0")
+    rows = words.withColumn("row", F.rint(F.col("y0") / top).cast("long"))
+    order = Window.partitionBy("doc", "page", "row").orderBy("x0", "x1", "text")
     fresh = F.coalesce(F.col("x0") - F.lag("x1").over(order) > field_gap, F.lit(True))
     fields = rows.withColumn("field", F.sum(fresh.cast("int")).over(order))
     parts = F.sort_array(F.collect_list(F.struct("x0", "text")))
@@ -144,6 +189,165 @@ def stream_rows(words: DataFrame, top: float = 3.0, field_gap: float = 6.0) -> D
     return cells.groupBy("doc", "page", "row").agg(F.transform(listed, lambda c: c["text"]).alias("cells"))
 
 
+def near_groups(sorted_values: Column, gap: float) -> Column:
+    """[W11] Ascending numbers as groups parted by gaps above ``gap``: for each its first, last, sum and count."""
+    group = "array<struct<first:double,last:double,sum:double,n:int>>"
+
+    def add(groups: Column, x: Column) -> Column:
+        last = F.element_at(groups, -1)
+        wider = F.struct(last["first"].alias("first"), x.alias("last"), (last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))
+        fresh = F.struct(x.alias("first"), x.alias("last"), x.alias("sum"), F.lit(1).alias("n"))
+        joins = (F.size(groups) > 0) & (x - F.get(groups, F.size(groups) - 1)["last"] <= gap)
+        return F.when(joins, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(groups, F.array(fresh)))
+
+    return F.aggregate(sorted_values, F.array().cast(group), add)
+
+
+def held(df: DataFrame, **values: Column) -> DataFrame:
+    """Columns computed once a row: filters on them are not moved below, where each would compute them anew."""
+    for name, value in values.items():
+        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+    return df
+
+
+# Words in the head of a table of relations.
+TRACE_WORDS = ("条目", "编号", "序号", "代码", "上游", "追踪", "来源", "对应", "关联", "说明", "备注", "文件")
+SYMBOLS = ("•", "·", "-", "*", "–", "—", "○", "●", "▪", "■")
+
+
+def unruled_tables(words: DataFrame, field_gap: float = 6.0, row_gap: float = 24.0) -> DataFrame:
+    """[S15] Tables without lines, of words ``doc``, ``page``, ``text``, ``x0``, ``y0``, ``x1``, ``y1``: ``doc``, ``page``, ``ord``, ``columns``, ``rows`` of cells ``text``, ``colspan``.
+
+    Rows of several fields without a wide gap between them make a stretch; of at least three rows it is a table
+    if 2 to 12 columns stand out, every row kept begins its fields at columns, most rows fill all of them, rows
+    are spaced evenly and most don't begin with a list mark. Tables whose columns are those of the page's text
+    are text in columns. A page of fewer than six words has none; so has an empty table of words, and words
+    without a document or page are in none. All stays within a page: one shuffle.
+    """
+    page = ["doc", "page"]
+    dealt = words.select(*page, "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).repartition(*page)
+    rows = dealt.withColumn("row", F.rint(F.col("y0") / 3).cast("long"))
+    along = Window.partitionBy(*page, "row").orderBy("x0", "x1", "text")
+    fresh = F.coalesce(F.col("x0") - F.lag("x1").over(along) > field_gap, F.lit(True))
+    fields = rows.withColumn("field", F.sum(fresh.cast("int")).over(along)).groupBy(*page, "row", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))), lambda w: w["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    lines = fields.groupBy(*page, "row").agg(F.sort_array(F.collect_list(F.struct("field", "x0", "x1", "text"))).alias("fields"), F.min("y0").alias("top"), F.max("y1").alias("bottom")).filter(F.size("fields") >= 2)
+    down = Window.partitionBy(*page).orderBy("row")
+    parted = lines.withColumn("ord", F.sum(F.coalesce(F.col("top") - F.lag("bottom").over(down) > row_gap, F.lit(True)).cast("int")).over(down))
+    stretches = parted.groupBy(*page, "ord").agg(F.sort_array(F.collect_list(F.struct("row", "top", "bottom", "fields"))).alias("lines")).filter(F.size("lines") >= 3)
+    starts = F.array_sort(F.flatten(F.transform("lines", lambda r: F.transform(r["fields"], lambda f: f["x0"]))))
+    columns = F.transform(near_groups(starts, 8.0), lambda g: g["sum"] / g["n"])
+    head = F.array_join(F.transform(F.col("lines")[0]["fields"], lambda f: f["text"]), "")
+    traces = sum((F.contains(head, F.lit(w)).cast("int") for w in TRACE_WORDS), F.lit(0)) >= 2
+    shaped = held(stretches, columns=columns).withColumn("least", F.when(traces, 2).otherwise(3)).filter(F.size("columns").between(2, 12))
+
+    def nearest(x: Column) -> Column:
+        far = F.transform(F.col("columns"), lambda c, i: F.struct(F.abs(x - c).alias("far"), i.alias("i")))
+        best = F.array_min(far)
+        return F.when(best["far"] <= 6, best["i"]).otherwise(-1)
+
+    hit = F.transform("lines", lambda r: F.struct(r["top"].alias("top"), r["fields"].alias("fields"), F.transform(r["fields"], lambda f: nearest(f["x0"])).alias("at")))
+    kept = held(held(shaped, lines=hit), lines=F.filter("lines", lambda r: ~F.array_contains(r["at"], F.lit(-1)))).filter(F.size("lines") >= F.col("least"))
+    # the share of columns that most rows fill; of equally frequent ones that which comes first
+    filled = F.transform("lines", lambda r: F.size(F.array_distinct(r["at"])))
+    often = lambda n: F.size(F.filter("filled", lambda m: m == n))
+    usual = F.array_max(F.transform("filled", lambda n, i: F.struct(often(n).alias("often"), (-i).alias("first"), n.alias("n"))))["n"]
+    tops = F.array_sort(F.transform("lines", lambda r: r["top"]))
+    gaps = F.filter(F.zip_with(F.slice(tops, F.lit(2), F.size(tops) - 1), F.slice(tops, F.lit(1), F.size(tops) - 1), lambda b, a: b - a), lambda g: g > 0)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    even = held(held(kept, filled=filled).filter(usual == F.size("columns")), gaps=gaps).withColumn("mean", total(F.col("gaps")) / F.nullif(F.size("gaps"), F.lit(0)))
+    spread = F.sqrt(total(F.transform("gaps", lambda g: (g - F.col("mean")) * (g - F.col("mean")))) / F.size("gaps"))
+    even = even.filter((F.size("lines") < 4) | F.col("mean").isNull() | (spread / F.col("mean") <= 0.8))
+
+    def cells(r: Column) -> Column:
+        placed = F.zip_with(r["fields"], r["at"], lambda f, i: F.struct(f.alias("field"), i.alias("at")))
+
+        def cell(left: Column, i: Column) -> Column:
+            # of several fields at a column the last one counts
+            own = F.filter(placed, lambda p: p["at"] == i)
+            field = F.get(own, F.size(own) - 1)["field"]
+            over = F.size(F.filter(F.col("columns"), lambda c, k: (k > i) & (c < field["x1"] + 4)))
+            return F.struct(F.coalesce(field["text"], F.lit("")).alias("text"), F.when(field.isNotNull(), 1 + over).otherwise(1).alias("colspan"))
+
+        return F.transform(F.col("columns"), cell)
+
+    grids = held(even, rows=F.transform("lines", cells))
+    marks = F.size(F.filter("rows", lambda r: F.trim(r[0]["text"]).isin(*SYMBOLS)))
+    grids = grids.filter(marks / F.size("rows") <= 0.5)
+    starts = dealt.groupBy(*page).agg(F.array_sort(F.collect_list("x0")).alias("x")).filter(F.size("x") >= 6)
+    text = held(starts, text_columns=F.transform(near_groups(F.col("x"), 15.0), lambda g: g["first"])).drop("x")
+    beside = F.forall("columns", lambda c: F.exists("text_columns", lambda t: F.abs(c - t) < 15))
+    in_columns = (F.size("text_columns") >= 2) & (F.size("columns") <= F.size("text_columns")) & beside
+    return grids.join(text, page).filter(~in_columns).select(*page, "ord", "columns", "rows")
+
+
+def merged_regions(boxes: DataFrame, margin: float = 50.0, pad: float = 15.0, most_images: int = 5) -> DataFrame:
+    """[S12] Regions without text of each page: boxes ``doc``, ``page``, ``kind``, ``x0``... ``page_width``, ``page_height`` joined where they are near each other.
+
+    Boxes are taken from top to bottom in bands of 20 points; each goes to the first region within the margin.
+    A region with a table is one, else one with a diagram, else an image; ``most_images`` images or more
+    are one. Regions are padded within the page. A page's boxes are one task's.
+    """
+    out = "doc string, page long, kind string, x0 double, y0 double, x1 double, y1 double"
+
+    def span(some: pd.DataFrame) -> tuple[float, ...]:
+        return some["x0"].min(), some["y0"].min(), some["x1"].max(), some["y1"].max()
+
+    def regions(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(_band=(frame["y0"] / 20).round()).sort_values(["_band", "x0", "y0", "x1", "y1", "kind"])
+        groups: list[tuple[tuple[float, ...], set[str]]] = []
+        for b in frame.itertuples(index=False):
+            near = (k for k, ((x0, y0, x1, y1), _) in enumerate(groups) if b.x1 >= x0 - margin and b.x0 <= x1 + margin and b.y1 >= y0 - margin and b.y0 <= y1 + margin)
+            k = next(near, None)
+            if k is None:
+                groups.append(((b.x0, b.y0, b.x1, b.y1), {b.kind}))
+            else:
+                (x0, y0, x1, y1), kinds = groups[k]
+                groups[k] = (min(x0, b.x0), min(y0, b.y0), max(x1, b.x1), max(y1, b.y1)), kinds | {b.kind}
+        kind_of = lambda kinds: next(k for k in ("table", "diagram", "image") if k in kinds or k == "image")
+        found = pd.DataFrame([(kind_of(kinds), *extent) for extent, kinds in groups], columns=["kind", "x0", "y0", "x1", "y1"])
+        images = found[found["kind"] == "image"]
+        if len(images) >= most_images:
+            whole = pd.DataFrame([("image", *span(images))], columns=found.columns)
+            found = pd.concat([found[found["kind"] != "image"], whole], ignore_index=True)
+        width, height = float(frame["page_width"].iloc[0]), float(frame["page_height"].iloc[0])
+        found = found.assign(x0=(found["x0"] - pad).clip(lower=0.0), y0=(found["y0"] - pad).clip(lower=0.0), x1=(found["x1"] + pad).clip(upper=width), y1=(found["y1"] + pad).clip(upper=height))
+        return found.assign(doc=frame["doc"].iloc[0], page=int(frame["page"].iloc[0]))[["doc", "page", "kind", "x0", "y0", "x1", "y1"]]
+
+    asked = boxes.select("doc", F.col("page").cast("long").alias("page"), "kind", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "page_width", "page_height")))
+    return asked.groupBy("doc", "page").applyInPandas(regions, out)
+
+
+def ruled_tables(cells: DataFrame) -> DataFrame:
+    """[S14] Ruled cells ``doc``, ``page``, ``table``, ``x0``, ``y0``, ``x1``, ``y1``, ``text``, ``style`` as a grid: a row for each place ``r``, ``c`` with ``text``, ``rowspan``, ``colspan``.
+
+    Edges within a point are one. A cell that covers several places gives its text to each, and its span as
+    the whole number of the place's size that is nearest to its own. Places that no cell covers are empty.
+    ``header`` tells whether the first row's usual style differs from the second's.
+    """
+    table = ["doc", "page", "table"]
+
+    def places(low: str, high: str) -> Column:
+        lines = F.transform(near_groups(F.array_sort(F.concat(F.collect_set(F.col(low).cast("double")), F.collect_set(F.col(high).cast("double")))), 1.0), lambda g: g["first"])
+        return F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), F.slice(lines, F.lit(2), F.size(lines) - 1), lambda a, b: F.struct(((a + b) / 2).alias("mid"), (b - a).alias("size")))
+
+    def covered(all_places: str, low: str, high: str) -> Column:
+        """Places along one side that a cell covers: their number and the cell's span there."""
+        span = lambda p: F.greatest(F.lit(1), F.rint((F.col(high) - F.col(low)) / F.greatest(p["size"], F.lit(1.0))).cast("int"))
+        within = F.transform(F.col(all_places), lambda p, i: F.when(p["mid"].between(F.col(low) - 1, F.col(high) + 1), F.struct(i.alias("i"), span(p).alias("span"))))
+        return F.filter(within, lambda x: x.isNotNull())
+
+    grid = cells.groupBy(*table).agg(places("y0", "y1").alias("down"), places("x0", "x1").alias("across")).filter((F.size("down") > 0) & (F.size("across") > 0))
+    meant = cells.join(grid, table).select(*table, "x0", "y0", "x1", "y1", "text", "style", F.explode(covered("down", "y0", "y1")).alias("v"), covered("across", "x0", "x1").alias("h")).withColumn("h", F.explode("h"))
+    first = F.min(F.struct("y0", "x0", "y1", "x1", F.coalesce("text", F.lit("")).alias("text"), "style", F.col("v.span").alias("rowspan"), F.col("h.span").alias("colspan")))
+    held = meant.groupBy(*table, F.col("v.i").alias("r"), F.col("h.i").alias("c")).agg(first.alias("k"))
+    every = grid.select(*table, F.explode(F.sequence(F.lit(0), F.size("down") - 1)).alias("r"), "across").select(*table, "r", F.explode(F.sequence(F.lit(0), F.size("across") - 1)).alias("c"))
+    found = every.join(held, [*table, "r", "c"], "left")
+    usual = F.mode("k.style", True)
+    styles = found.groupBy(*table, "r").agg(usual.alias("style")).groupBy(*table).agg(F.max(F.when(F.col("r") == 0, F.col("style"))).alias("s0"), F.max(F.when(F.col("r") == 1, F.col("style"))).alias("s1"))
+    header = F.coalesce(F.col("s0") != F.col("s1"), F.lit(False))
+    return found.join(styles, table).select(*table, "r", "c", F.coalesce("k.text", F.lit("")).alias("text"), F.coalesce("k.rowspan", F.lit(1)).alias("rowspan"), F.coalesce("k.colspan", F.lit(1)).alias("colspan"), header.alias("header"))
+
+
 def grid_regions(boxes: DataFrame, page_width: float, page_height: float, n: int = 24, coverage: float = 0.10, least_area: float = 0.04) -> DataFrame:
     """[M9, S12] Regions of a page that vector boxes fill: components of grid cells covered enough, of enough area."""
     cw, ch = page_width / n, page_height / n

@@ -43,6 +43,24 @@ def heading_ranks(spark, sf_dir):
     return layout.heading_levels(rows).select("doc", "block", "level")
 
 
+@query(f"""WITH {_PARTS} SELECT doc, p_type AS font_name, CAST(w AS DOUBLE) AS font_size, count(*) AS times FROM p GROUP BY ALL""")
+def font_signatures(spark, sf_dir):
+    lines = _blocks(spark, sf_dir).withColumns({"font_name": F.col("p_type"), "font_size": F.col("w"), "bold": F.lit(False)})
+    return layout.font_signatures(lines).select("doc", "font_name", "font_size", "times")
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS text FROM orders)
+SELECT doc, CAST(i // 2 AS INTEGER) AS r, CAST(c AS INTEGER) AS c, text, CASE WHEN wide THEN 2 ELSE 1 END AS colspan FROM (SELECT *, i = n - 1 AND i % 2 = 0 AND n > 1 AS wide FROM o), (VALUES (0), (1)) v(c) WHERE wide OR i % 2 = c""")
+def ruled_tables(spark, sf_dir):
+    """Orders of a customer two by two as ruled cells; a last one without a neighbour is twice as wide."""
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), i.alias("i"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"), F.col("o_orderpriority").alias("text"))
+    x0, y0 = (F.col("i") % 2) * 100.0, F.floor(F.col("i") / 2) * 20.0
+    wide = F.when((F.col("i") % 2 == 0) & (F.col("i") == F.col("n") - 1), 200.0).otherwise(100.0)
+    cells = rows.select("doc", F.lit(0).alias("page"), F.lit(1).alias("table"), x0.alias("x0"), y0.alias("y0"), (x0 + wide).alias("x1"), (y0 + 20.0).alias("y1"), "text", F.lit("s").alias("style"))
+    return layout.ruled_tables(cells).select("doc", "r", "c", "text", "colspan")
+
+
 @query(f"""WITH {_PARTS}, f AS (SELECT *, p_type LIKE 'S%' AS image FROM p), c AS (SELECT a.doc, a.page, a.block AS caption, b.block AS image, sqrt((a.x0 + a.w / 2 - b.x0 - b.w / 2) ** 2 + (a.y0 + a.w / 2 - b.y0 - b.w / 2) ** 2) AS far, greatest(a.y0 - b.y0 - b.w, b.y0 - a.y0 - a.w, 0) AS gap FROM f a JOIN f b ON a.doc = b.doc AND a.page = b.page AND NOT a.image AND b.image)
 SELECT doc, page, caption, image FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, caption ORDER BY far, image) AS n FROM c WHERE gap <= 60) WHERE n = 1""")
 def caption_pairs(spark, sf_dir):
@@ -71,7 +89,7 @@ def attached_images(spark, sf_dir):
     return layout.attached_images(_blocks(spark, sf_dir).withColumn("kind", F.when(F.col("p_type").startswith("S"), "image").otherwise("text")))
 
 
-@query(f"""WITH {_PARTS}, r AS (SELECT *, floor(y0 / 100) AS r, lag(x0 + w) OVER (PARTITION BY doc, page, floor(y0 / 100) ORDER BY x0, block) AS b FROM p), f AS (SELECT *, sum(CASE WHEN b IS NULL OR x0 - b > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page, r ORDER BY x0) AS field FROM r)
+@query(f"""WITH {_PARTS}, r AS (SELECT *, round_even(y0 / 100, 0) AS r, lag(x0 + w) OVER (PARTITION BY doc, page, round_even(y0 / 100, 0) ORDER BY x0, x0 + w, text) AS b FROM p), f AS (SELECT *, sum(CASE WHEN b IS NULL OR x0 - b > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page, r ORDER BY x0, x0 + w, text) AS field FROM r)
 SELECT doc, page, CAST(r AS BIGINT) AS "row", list(text ORDER BY field) AS cells FROM (SELECT doc, page, r, field, string_agg(text, ' ' ORDER BY x0, text) AS text FROM f GROUP BY doc, page, r, field) GROUP BY doc, page, r""")
 def stream_cells(spark, sf_dir):
     return layout.stream_rows(_blocks(spark, sf_dir), 100.0, 30.0).select("doc", "page", long("row").alias("row"), "cells")
