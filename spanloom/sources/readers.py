@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators.relations import filled_down
+from spanloom.operators.units import document_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,17 @@ def parsed(files: DataFrame, parser: Callable[[bytes], list[tuple[int, str]]] |
     return out.filter("error is null").drop("error"), out.filter("error is not null").select("doc", "error")
 
 
+def document_kinds(pages: DataFrame, errors: DataFrame | None = None, first: int = 3) -> DataFrame:
+    """[S5] Documents with their number of ``pages`` and the ``doc_type`` that their first pages show; ``unknown`` for those in ``errors``, without pages."""
+    early = pages.groupBy("doc").agg(F.count("*").alias("pages"), F.slice(F.sort_array(F.collect_list(F.when(F.col("page_number") <= first, F.struct("page_number", "text")))), 1, first).alias("early"))
+    shown = early.select("doc", "pages", F.array_join(F.transform("early", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"))
+    kinds = shown.select("doc", "pages").join(document_type(shown).select("doc", "doc_type"), "doc")
+    if errors is None:
+        return kinds
+    lost = errors.select("doc").distinct().join(kinds, "doc", "left_anti")
+    return kinds.unionByName(lost.select("doc", F.lit(0).cast("long").alias("pages"), F.lit("unknown").alias("doc_type")))
+
+
 def cleaned_pages(pages: DataFrame) -> DataFrame:
     """[S1, N19] Page texts after :func:`spanloom.functions.text.page_text`."""
     return pages.withColumn("text", T.page_text(F.col("text")))
