@@ -42,3 +42,13 @@ def test_stretches(spark):
     rows = spark.createDataFrame([(1, [3, 3, 1, 2, 2]), (2, []), (3, [1])], "k long, levels array<int>")
     found = matrix.stretches(rows, ["k"], "levels")
     assert sorted(map(tuple, found.collect())) == [(1, 0, 2, 3), (1, 2, 1, 1), (1, 3, 2, 2), (3, 0, 1, 1)]
+
+
+def test_discovery_decides_every_document(spark):
+    """Each document has one decision, and a passage that it holds word for word is among its references."""
+    passages = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    holding = {(r.doc_id, i) for r in table(spark, SF, "documents").collect() for i, text in passages.items() if text in (r.text or "")}
+    rows = catalogue.QUERIES["discover_units"](spark, SF).collect()
+    assert sorted(r.d for r in rows) == sorted(2 * r.doc_id for r in table(spark, SF, "documents").collect())
+    assert {r.status for r in rows} <= {"traced", "untraced"}
+    assert holding and holding <= {(r.d // 2, x.u // 2) for r in rows for x in r.references or []}
