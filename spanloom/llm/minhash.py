@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import discard, map_columns, materialise
-from spanloom.llm.graph import connected_components
+from spanloom.llm.graph import connected_components, few_files
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
@@ -315,11 +315,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     buckets = classes.select(F.explode("bands").alias("key"), "class", "n_shingles")
     led = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "class")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("least.class").alias("a"))
     stars = materialise(buckets.join(led, "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
+    most = stars.count()
     texts = materialise(class_texts(ends(stars), classes, docs))
     likely = materialise(likely_pairs(stars, classes, percent))
     links = confirmed_pairs(likely, texts, percent)
     components = materialise(connected_components(links, "a", "b"))
-    held = materialise(mixed_stars(stars, components))
+    held = materialise(few_files(mixed_stars(stars, components), most))
     discard(likely)
     large = materialise(held.filter(F.col("members") > SMALL_STAR).select("a", "b"))
     keys = rests = None
@@ -332,7 +333,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
         links = links.unionByName(confirmed_pairs(second, texts, percent))
         older = (components, held, second)
         components = materialise(connected_components(links, "a", "b"))
-        held = materialise(mixed_stars(stars, components))
+        held = materialise(few_files(mixed_stars(stars, components), most))
         discard(*older)
         keys = star_keys(rests.join(held.select("a", "b"), ["a", "b"], "left_semi"))
     more = materialise(residual_pairs(held, keys, classes, percent))

@@ -372,3 +372,24 @@ def test_pipeline(spark):
     clean = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 0").collect()}
     assert len(toxic & set(kept["toxicity"])) <= 0.5 * len(toxic) and len(clean & set(kept["toxicity"])) >= 0.95 * len(clean & set(kept["language"]))
     assert {r.doc_id for r in kept["packing"]} == set(kept["secrets"])
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """However many partitions there are, a round of few edges writes one file; more edges take more files and give the same."""
+    written, keep = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(graph, "discard", lambda *tables: None)
+    edges = spark.range(0, 300).select(F.col("id").alias("x"), F.when(F.col("id") % 10 < 9, F.col("id") + 1).otherwise(F.col("id")).alias("y"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("9", "false"), strict=True):
+            spark.conf.set(k, v)
+        for a_file, most in ((graph.ROWS_PER_FILE, 1), (100, 3)):
+            monkeypatch.setattr(graph, "ROWS_PER_FILE", a_file)
+            written.clear()
+            got = {r.node: r.component for r in graph.connected_components(edges, "x", "y").collect()}
+            assert got == {n: n // 10 * 10 for n in range(300)}
+            assert all(len(t.inputFiles()) <= most for t in written[1:])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
