@@ -223,8 +223,9 @@ def star_members(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
 def star_keys(rests: DataFrame) -> DataFrame:
     """Similar members of one star share a key, see :func:`residual_pairs`: ``key``, ``class``, and ``inside``, which is -1 for keys that are shingles."""
     listed = rests.select("a", "b", F.explode("rest").alias("key"))
-    counts = listed.groupBy("a", "key").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = listed.join(counts, ["a", "key"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("shared"))
+    # a window, since with a join on counts all would be listed twice
+    times = F.count("*").over(Window.partitionBy("a", "key"))
+    shared = listed.withColumn("times", times).filter("times > 1").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("shared"))
     # shingles that no other member has come first in the order and are no keys
     left = F.col("first") - (F.size("rest") - F.size("shared"))
     outside = rests.join(shared, ["a", "b"]).filter(left > 0).select("a", F.col("b").alias("class"), F.explode(F.slice("shared", F.lit(1), left)).alias("s"))
