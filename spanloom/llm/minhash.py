@@ -9,6 +9,8 @@
    with all others, too. Stars whose members are still in several components are looked through again, in blocks of bounded
    size, for pairs across components. In large ones, where texts have much in common, only members
    are compared that share something rare or that differ little from what most have; this loses no pair.
+   Signatures give lists of members in likely pairs; whole sets are brought to lists and compared there,
+   and of the similar pairs only as many are returned as tie the components together.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import discard, map_columns, materialise
+from spanloom.llm.common import discard, map_columns, materialise, release_memory, small_batches
 from spanloom.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Members of a key that are compared in one block.
-BLOCK = 1024
+#: Members of a key that are compared in one block, and about how many shingles they may have together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Stars of up to so many members are compared directly; so many show the centre of a larger one.
 SMALL_STAR, CENTRE_MEMBERS = 32, 16
 #: Elements whose permutations are kept in memory at once while a signature is made.
@@ -233,16 +235,18 @@ def star_keys(rests: DataFrame) -> DataFrame:
 
 
 def compared(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components among the members of each ``key``: ``a``, ``b``.
+    """Lists ``classes`` among the members of each ``key`` that likely pairs across components tie together.
 
     ``members`` has ``key``, ``class``, ``component``, ``n_shingles``, ``signature`` and ``inside``. The
     members of a key's largest component meet only the others; both are dealt to blocks, and each two
-    blocks are compared by themselves. So no task gathers more than two blocks, and no pair is left out.
+    blocks are compared by themselves. So no task gathers more than two blocks, and no pair is left out:
+    both of its classes are in one list. Of each two blocks, a class is in one list at most, however many
+    likely pairs it is in.
     """
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    plan = keys.select("key", F.col("top.component").alias("major"), blocks(F.col("top.n")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n")).alias("minor_blocks"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    plan = keys.select("key", F.col("top.component").alias("major"), blocks(F.col("top.n"), F.col("top.shingles")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("minor_blocks"))
     plan = materialise(plan)  # as a table, the join with it can be split where a key has very many members
     row = F.struct("class", "component", "n_shingles", "inside", "signature").alias("member")
     dealt = members.join(plan, "key").withColumns({"is_major": F.col("component") == F.col("major"), "deal": F.pmod(F.xxhash64("class"), F.lit(1 << 30))})
@@ -255,21 +259,84 @@ def compared(members: DataFrame, percent: int) -> DataFrame:
     groups = met.repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
 
     def compare(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"a": [], "b": []}
+        out: dict[str, list] = {"classes": []}
         for found in columns["members"]:
             ids, parts, n, inside = (np.array([m[name] for m in found]) for name in ("class", "component", "n_shingles", "inside"))
             signatures = np.frombuffer(b"".join(m["signature"] for m in found), "uint8").reshape(-1, SLOTS)
+            tied = np.arange(len(ids))
             for i in range(len(ids) - 1):
                 rest = slice(i + 1, None)
                 common = np.where(inside[rest] < 0, np.minimum(n[i], n[rest]), np.minimum(inside[i], inside[rest]))
                 near = ((parts[rest] != parts[i]) & (100 * common >= percent * (n[i] + n[rest] - common))).nonzero()[0] + i + 1
                 if len(near):
                     good = near[_likely(n[i], n[near], (signatures[near] == signatures[i]).sum(axis=1), percent)]
-                    out["a"] += np.minimum(ids[i], ids[good]).tolist()
-                    out["b"] += np.maximum(ids[i], ids[good]).tolist()
+                    if (tied[good] != tied[i]).any():
+                        tied[np.isin(tied, tied[good])] = tied[i]
+            names, sizes = np.unique(tied, return_counts=True)
+            out["classes"] += [np.sort(ids[tied == name]).tolist() for name in names[sizes > 1]]
         return out
 
-    return map_columns(groups.select("members"), compare, "a long, b long", rows=20).distinct()
+    # members that share one passage have one list under each of its shingles
+    return map_columns(groups.select("members"), compare, "classes array<long>", rows=20).distinct()
+
+
+def _links_among(ids: list[int], parts: list[int], signatures: list[bytes], sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of similar sets that tie together all components that such pairs tie; whole sets are compared."""
+    joined, n = np.array(parts), np.array([len(found) for found in sets])
+    bytes_ = np.frombuffer(b"".join(signatures), "uint8").reshape(-1, SLOTS)
+    hashes, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(places, np.cumsum(n)[:-1])
+    own = np.zeros(len(hashes), bool)
+    first, second = [], []
+    for i in range(len(ids) - 1):
+        near = (joined[i + 1 :] != joined[i]).nonzero()[0] + i + 1
+        good = near[_likely(n[i], n[near], (bytes_[near] == bytes_[i]).sum(axis=1), percent)]
+        own[places[i]] = True
+        for j in good.tolist():
+            if joined[j] != joined[i]:
+                common = np.count_nonzero(own[places[j]])
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    joined[joined == joined[j]] = joined[i]
+                    first.append(min(ids[i], ids[j]))
+                    second.append(max(ids[i], ids[j]))
+        own[places[i]] = False
+    return first, second
+
+
+def confirmed_links(lists: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links that whole sets confirm among the classes of each list: ``a``, ``b``, fewer than the list has classes.
+
+    ``members`` has ``class``, ``component`` and ``signature``. Texts are brought to lists, not to pairs,
+    and a task holds the sets of one list at a time, which :func:`compared` bounds. Pairs of a list
+    are only passed over if their signatures exclude them or links already tie their components.
+    """
+    numbered = materialise(lists.withColumn("list", F.monotonically_increasing_id()))
+    listed = materialise(numbered.select("list", F.explode("classes").alias("class")))
+    chosen = materialise(members.join(listed.select("class").distinct(), "class").join(texts, "class"))
+    both = listed.join(chosen, "class").select("list", "class", "component", "signature", "text").repartition("list").sortWithinPartitions("list")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found() -> pa.RecordBatch:
+            ids, parts, signatures, sets = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in _links_among(ids, parts, signatures, sets, percent)], ["a", "b"])
+
+        for part in small_batches(batches):
+            for number, *row, text in zip(*(part.column(c).to_pylist() for c in ("list", "class", "component", "signature", "text")), strict=True):
+                if held and number != at:
+                    yield found()
+                    held.clear()
+                at = number
+                held.append((*row, shingle_hashes(text)))
+        if held:
+            yield found()
+        held.clear()
+        release_memory()
+
+    links = materialise(both.mapInArrow(check, "a long, b long").distinct())
+    discard(numbered, listed, chosen)
+    return links
 
 
 def mixed_stars(stars: DataFrame, components: DataFrame) -> DataFrame:
@@ -279,8 +346,8 @@ def mixed_stars(stars: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(mixed, "a")
 
 
-def residual_pairs(held: DataFrame, keys: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components among the members of stars that are still mixed.
+def residual_links(held: DataFrame, keys: DataFrame | None, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """Links across components among the members of stars that are still mixed, enough to tie all that are similar; none if no pair is likely.
 
     Members of small stars are compared directly. For a large one, let c be a centre, for instance
     what most members have. Of two similar members, either all that they have in common lies in c, or
@@ -293,8 +360,12 @@ def residual_pairs(held: DataFrame, keys: DataFrame | None, classes: DataFrame,
     if keys is not None:
         keyed = keyed.unionByName(keys)
     member = held.select(F.col("b").alias("class"), "component").distinct()
-    members = materialise(keyed.join(member, "class").join(classes.select("class", "n_shingles", "signature"), "class"))
-    return compared(members, percent)
+    member = member.join(classes.select("class", "n_shingles", "signature"), "class")
+    members = materialise(keyed.join(member, "class"))
+    lists = materialise(compared(members, percent))
+    links = None if lists.isEmpty() else confirmed_links(lists, member.drop("n_shingles"), texts, percent)
+    discard(members, lists)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -335,9 +406,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
         held = materialise(mixed_stars(stars, components))
         discard(*older)
         keys = star_keys(rests.join(held.select("a", "b"), ["a", "b"], "left_semi"))
-    more = materialise(residual_pairs(held, keys, classes, percent))
-    if not more.isEmpty():
-        components = materialise(connected_components(links.unionByName(confirmed_pairs(more, texts, percent)), "a", "b"))
+    more = residual_links(held, keys, classes, texts, percent)
+    if more is not None:
+        components = materialise(connected_components(links.unionByName(more), "a", "b"))
     discard(stars, texts, held, large, rests, more)
     placed = classes.select("class", "digest", "doc_id").join(components, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

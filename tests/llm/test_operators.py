@@ -273,6 +273,27 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert got == brute_groups(rows, percent)
 
 
+@pytest.mark.parametrize("shingles", [1 << 20, 4000])
+def test_near_duplicates_write_no_row_for_each_pair(spark, shingles, monkeypatch):
+    """Copies of one text, each with two words replaced, are mostly a little less similar than wanted, so nearly all pairs are likely."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles, raising=False)
+    written, keep = [], minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df: written.append((table := keep(df)).count()) or table)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, rows = [word() for _ in range(120)], []
+    for n in range(300):
+        copy = list(base)
+        for at in rng.sample(range(4, 116), 2):
+            copy[at] = word()
+        rows.append((n, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert got == brute_groups(rows, 80)
+    assert 50 < len({component for _, component in got.values()}) < 300
+    if shingles == 1 << 20:
+        assert max(written) <= minhash.BANDS * len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 102), (101, 103), (7, 7), (100, 101)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
