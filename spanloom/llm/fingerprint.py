@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialise
+from spanloom.llm.graph import few_files
 
 EQUALITY = 16
 SKETCH = 64
@@ -98,15 +99,18 @@ def next_ids(ids: DataFrame, partitions: int) -> DataFrame:
     """``doc_id`` and ``next_id``, the next greater one and after the last the first.
 
     Only ids move: dealt by ranges, ordered within each, and tied across ranges by a row of each range.
+    A file holds many ranges.
     """
+    rows = ids.count()
     ranged = ids.repartitionByRange(partitions, "doc_id").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged)
+    ranged = materialise(few_files(ranged, rows))
     firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"))
     by_part = Window.orderBy("part")
     after = firsts.select("part", F.coalesce(F.lead("first").over(by_part), F.min("first").over(Window.partitionBy())).alias("after"))
     inner = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
     # at most a row for each of ``partitions`` ranges
-    return ranged.withColumn("inner", inner).join(F.broadcast(after), "part").select(*ids.columns, F.coalesce("inner", "after").alias("next_id"))
+    found = ranged.withColumn("inner", inner).join(F.broadcast(after), "part").select(*ids.columns, F.coalesce("inner", "after").alias("next_id"))
+    return few_files(found, rows)
 
 
 def _both_sides(rows: DataFrame) -> DataFrame:

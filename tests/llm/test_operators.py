@@ -181,6 +181,25 @@ def test_fingerprints(spark):
     assert sum(a > b for a, b in near) == len(near) and np.mean([a for a, _ in near]) > 0.4
 
 
+def test_next_ids_need_few_files(spark, monkeypatch):
+    """A small table of ids is not a file for each of many ranges, and still holds every range."""
+    written = []
+
+    def counted(df):
+        found = fingerprint_materialise(df)
+        written.append((len(found.inputFiles()), found.select("part").distinct().count()))
+        return found
+
+    fingerprint_materialise = fingerprint.materialise
+    monkeypatch.setattr(fingerprint, "materialise", counted)
+    ids = random.Random(5).sample(range(-(10**12), 10**12), 3000)
+    found = fingerprint.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(7), 32)
+    assert found.rdd.getNumPartitions() == 1
+    ids.sort()
+    assert sorted((r.doc_id, r.next_id) for r in found.collect()) == list(zip(ids, ids[1:] + ids[:1]))
+    assert written == [(1, 32)]
+
+
 def test_fingerprints_add_up(spark):
     rows = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\na b c"), (3, "a b c"), (4, "d e")], "id long, text string")
     lanes = {r.id: r.lanes for r in fingerprint.fingerprints(rows, ["id"]).collect()}
