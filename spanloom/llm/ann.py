@@ -3,8 +3,10 @@
 A vector is coded as a sum of codewords, one of each of several full-dimensional codebooks, found by
 beam search. A query's inner products with all codewords form a lookup table; a candidate's
 approximate score is a sum of table entries. The best candidates are ranked again on the original
-vectors in double precision. Codebooks are fitted on a bounded sample, every vector is indexed, and
-every query meets every index row, in tasks that each hold a strip of codes.
+vectors in double precision. How far a vector lies from its code bounds what its score can be, so all
+others that could be among the best are ranked, too, and none is missed however badly a vector is coded.
+Codebooks are fitted on a bounded sample, every vector is indexed, and every query meets every index
+row, in tasks that each hold a strip of codes and vectors.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from spanloom.llm.common import hash_sample, map_columns, materialise, release_memory, resident, sample_fraction, small_batches
 
 CODEBOOKS, CODEWORDS, BEAM = 32, 256, 4
 #: Bound of the sample that codebooks are fitted on, and of the driver's share of work.
 TRAIN_VECTORS = 10_000
-#: Distinct vectors of each query that are ranked again.
+#: Distinct vectors of each query that are ranked again before bounds are known.
 SHORTLIST = 256
-#: Codes that a task holds at once; queries that are worth a task of their own, and most that one task is given.
-STRIP, QUERY_BLOCK, MOST_QUERIES = 1 << 20, 512, 1 << 15
+#: Codes, and bytes of vectors, that a task holds at once; queries that are worth a task of their own, and most that one task is given.
+STRIP, STRIP_BYTES, QUERY_BLOCK, MOST_QUERIES = 1 << 20, 1 << 27, 512, 1 << 15
 #: Tasks that the scan is split into before a task is given more than ``QUERY_BLOCK`` queries.
 TASKS = 2000
 
@@ -61,6 +64,12 @@ class Codebooks:
         coded = vectors - residual[rows, first]
         return codes[rows, first], (coded**2).sum(axis=1).astype("float32")
 
+    def misses(self, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far vectors lie from what their codes stand for, rounded up."""
+        coded = sum(book[codes[:, m]].astype("float64") for m, book in enumerate(self.words))
+        far = np.sqrt(((vectors - coded) ** 2).sum(axis=1)) * (1 + 1e-6)
+        return np.nextafter(far.astype("float32"), np.float32(np.inf))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of shape (queries, codebooks, codewords)."""
         return np.einsum("qd,mkd->qmk", queries.astype("float32"), self.words, optimize=True)
@@ -109,31 +118,66 @@ def usable(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(~bad & some).select("vec_id", F.transform(v, lambda x: (x + F.lit(0.0)).cast("double")).alias("v"))
 
 
+def exact(query: np.ndarray, vectors: np.ndarray, measure: str) -> np.ndarray:
+    """Scores of columns of ``vectors`` in double precision, summed in the order of the components."""
+    total = np.zeros(vectors.shape[1])
+    for x, row in zip(query, vectors, strict=True):
+        total += x * row if measure == "inner" else -(x - row) * (x - row)
+    return total
+
+
 class Strip:
-    """Codes that a task holds, and the best of them for a query."""
+    """Codes and vectors that a task holds, and the best of them for a query."""
 
     def __init__(self, place: tuple = ()):
         self.place = place
-        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self._whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self._whole: tuple[np.ndarray, ...] | None = None
 
-    def add(self, rows: pa.RecordBatch) -> None:
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), "uint8").reshape(rows.num_rows, -1)
-        self._parts.append((rows.column("vec_id").to_numpy(), rows.column("norm").to_numpy(), codes))
+    def add(self, rows: pa.RecordBatch, kind: str) -> None:
+        cells = lambda name, of: np.frombuffer(b"".join(rows.column(name).to_pylist()), of).reshape(rows.num_rows, -1)
+        self._parts.append((rows.column("vec_id").to_numpy(), rows.column("norm").to_numpy(), rows.column("miss").to_numpy(), cells("code", "uint8"), cells("raw", kind)))
 
-    def best(self, table: np.ndarray, n: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and approximate scores of the ``n`` best; a code's score is a sum of entries of ``table``."""
+    def _held(self) -> tuple[np.ndarray, ...]:
         if self._whole is None:
-            ids, norms, codes = (np.concatenate(part) for part in zip(*self._parts, strict=True)) if self._parts else (np.empty(0, "int64"), np.empty(0, "float32"), np.empty((0, len(table)), "uint8"))
-            self._parts, self._whole = [], (ids, norms, np.ascontiguousarray(codes.T))
-        ids, norms, codes = self._whole
-        near = table[0][codes[0]]
-        for m in range(1, len(codes)):
-            near += table[m][codes[m]]
-        if measure == "euclidean":
-            near = 2 * near - norms
-        chosen = np.argpartition(-near, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
-        return ids[chosen], near[chosen]
+            ids, norms, misses, codes, vectors = (np.concatenate(part) for part in zip(*self._parts, strict=True))
+            self._parts, self._whole = [], (ids, norms, misses, np.ascontiguousarray(codes.T), vectors)
+        return self._whole
+
+    def best(self, query: np.ndarray, table: np.ndarray, n: int, shortlist: int, measure: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the ``n`` best, ties to the smaller id.
+
+        A code's score is a sum of entries of ``table``. The ``n``-th of the exact scores of the ``shortlist`` best
+        codes is a floor; of the rest, all that could reach it by their distance from their code are scored, too.
+        """
+        if not (self._parts or self._whole):
+            return np.empty(0, "int64"), np.empty(0)
+        ids, norms, misses, codes, vectors = self._held()
+        scored = lambda at: exact(query, vectors[at].T.astype("float64"), measure)
+        if shortlist < len(ids):
+            with np.errstate(all="ignore"):
+                near = table[0][codes[0]]
+                for m in range(1, len(codes)):
+                    near += table[m][codes[m]]
+                rank = 2 * near - norms if measure == "euclidean" else near
+                at = np.argpartition(-rank, shortlist - 1)[:shortlist]
+                floor = np.partition(scored(at), -n)[-n]
+                length, most = np.sqrt((query**2).sum()), np.sqrt(np.float64(norms.max()))
+                doubt = len(codes) * 2.0**-22 * np.abs(table).max(axis=1).sum(dtype="float64") + len(query) * 1e-12 * length * most
+                if measure == "euclidean":
+                    square = length**2 - rank - 2 * doubt - 2.0**-20 * (length + most) ** 2
+                    highest = -(np.maximum(np.sqrt(np.maximum(square, 0)) - misses, 0) ** 2)
+                else:
+                    highest = near + length * misses + doubt
+                at = np.flatnonzero(~(highest < floor))  # what has no bound could be anything
+        else:
+            at = np.arange(len(ids))
+        score = scored(at)
+        if n < len(at):
+            some = np.flatnonzero(score >= np.partition(score, -n)[-n])
+            at, score = at[some], score[some]
+        first = np.lexsort((ids[at], -score))[:n]
+        return ids[at][first], score[first]
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int = SHORTLIST, train_vectors: int = TRAIN_VECTORS, measure: str = "inner") -> DataFrame:
@@ -150,11 +194,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
     vectors are coded once; of each such group the ``k + 1`` smallest ids can be in a result, so no
     other copies are ranked. Other columns are left out; an empty table gives an empty result.
 
-    Codes are dealt to strips of about ``STRIP``, queries to chunks. A task gets a strip's codes, holds
-    them, and reads a chunk's queries one after another, so each query gives ``shortlist`` candidates
-    a strip; these are reduced again before originals are fetched.
+    Codes and vectors are dealt to strips of about ``STRIP``, queries to chunks. A task gets a strip, holds
+    it, and reads a chunk's queries one after another. ``shortlist`` sets how many of the best codes give the
+    floor that bounds are held against, not the result: each query gives the ``k + 1`` best vectors a strip.
     """
     spark = vectors.sparkSession
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    kind = "float32" if isinstance(element, FloatType) else "float64"
     given = usable(vectors)
     width = given.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -171,17 +217,20 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
     model, label = spark.sparkContext.broadcast(data), ("neighbours", hashlib.sha256(data).hexdigest())
 
     def pack_codes(columns: dict[str, list]) -> dict[str, list]:
-        codes, norms = resident(label, lambda: pickle.loads(model.value)).encode(np.array(columns["v"], "float32"))
-        return {"vec_id": columns["vec_id"], "code": [c.tobytes() for c in codes], "norm": norms}
+        books, vectors = resident(label, lambda: pickle.loads(model.value)), np.array(columns["v"], "float64")
+        with np.errstate(all="ignore"):
+            codes, norms = books.encode(vectors.astype("float32"))
+            misses = books.misses(vectors, codes)
+        return {"vec_id": columns["vec_id"], "code": [c.tobytes() for c in codes], "norm": norms, "miss": misses, "raw": [v.tobytes() for v in vectors.astype(kind)]}
 
-    coded = map_columns(distinct, pack_codes, "vec_id long, code binary, norm float", rows=4096)
+    coded = map_columns(distinct, pack_codes, "vec_id long, code binary, norm float, miss float, raw binary", rows=4096)
     queries = rows.filter(is_query)
     n_queries = queries.count()
-    strips = max(1, -(-total // STRIP))
+    strips = max(1, -(-total // max(1, min(STRIP, STRIP_BYTES // (width["width"] * np.dtype(kind).itemsize)))))
     chunks = max(1, min(-(-n_queries // QUERY_BLOCK), max(TASKS // strips, -(-n_queries // MOST_QUERIES))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    held = coded.select(F.pmod(F.xxhash64("vec_id"), F.lit(strips)).alias("strip"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "norm", "code", F.lit(None).cast("array<double>").alias("v"))
-    asked = queries.select(every(strips).alias("strip"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(chunks)).alias("chunk"), F.lit(1).alias("kind"), "vec_id", F.lit(None).cast("float").alias("norm"), F.lit(None).cast("binary").alias("code"), "v")
+    held = coded.select(F.pmod(F.xxhash64("vec_id"), F.lit(strips)).alias("strip"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "norm", "miss", "code", "raw", F.lit(None).cast("array<double>").alias("v"))
+    asked = queries.select(every(strips).alias("strip"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(chunks)).alias("chunk"), F.lit(1).alias("kind"), "vec_id", *(F.lit(None).cast(of).alias(name) for name, of in (("norm", "float"), ("miss", "float"), ("code", "binary"), ("raw", "binary"))), "v")
     met = held.unionByName(asked).repartition(strips * chunks, "strip", "chunk").sortWithinPartitions("strip", "chunk", "kind", "vec_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,18 +243,21 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
                 if tuple(places[at][:2]) != strip.place:
                     strip = Strip(tuple(places[at][:2]))
                 if places[at][2] == 0:
-                    strip.add(here)
+                    strip.add(here, kind)
                     continue
                 ids, vectors = here.column("vec_id").to_pylist(), here.column("v").to_pylist()
                 for query_id, v in zip(ids, vectors, strict=True):
-                    reps, near = strip.best(books.tables(np.array([v], "float32"))[0], shortlist + 1, measure)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), query_id)), pa.array(reps), pa.array(near)], names=["query_id", "rep", "near"])
+                    query = np.array(v, "float64")
+                    with np.errstate(all="ignore"):
+                        asked_table = books.tables(query[None])[0]
+                    reps, scores = strip.best(query, asked_table, k + 1, max(shortlist, k) + 1, measure)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), query_id)), pa.array(reps), pa.array(scores)], names=["query_id", "rep", "near"])
         release_memory()
 
-    found = met.mapInArrow(scan, "query_id long, rep long, near float")
+    found = met.mapInArrow(scan, "query_id long, rep long, near double")
     if strips > 1:
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
-        found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= shortlist + 1).drop("place")
+        found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
     named = found.select("query_id", "rep").join(copies.select("rep", "vec_id", F.col("v").alias("candidate")), "rep").filter("vec_id <> query_id")
     both = named.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")), "query_id")
     term = (lambda a, b: -(a - b) * (a - b)) if measure == "euclidean" else (lambda a, b: a * b)

@@ -250,6 +250,25 @@ def test_neighbours_by_strips(spark, monkeypatch):
     assert set(got) == set(range(0, 3000, 20)) and np.mean([len(got[20 * i] & set(row.tolist())) for i, row in enumerate(best)]) >= 18
 
 
+def test_neighbours_of_rows_that_code_badly(spark):
+    """No cluster, vectors that the sample lacks, and many that hardly differ: all of the nearest are found."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 32)) * np.exp(rng.normal(size=(3000, 1)))
+    vectors[1000:1900] = rng.normal(size=32) + 1e-4 * rng.normal(size=(900, 32))
+    vectors[2900:] = 50 * rng.normal(size=(100, 32))
+    vectors = vectors.astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    x = vectors.astype("float64")
+    for measure in ("inner", "euclidean"):
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, train_vectors=300, measure=measure).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        for q in range(0, 3000, 20):
+            score = ann.exact(x[q], x.T, measure)
+            order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+            assert [v for _, v in sorted(got[q])] == order, (measure, q)
+
+
 def brute_groups(rows, percent):
     sets = []
     for _, text in rows:
