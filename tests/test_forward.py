@@ -128,3 +128,33 @@ def test_chain_and_case_agree(spark):
     df = spark.createDataFrame(rows, "i long, expected string, sim double, bigram double, charset double, lcs double, length_ratio double, short boolean, equal boolean, raw double, e double, n double, c double")
     got = verify.classified(*(F.col(c) for c in ("sim", "bigram", "charset", "lcs", "length_ratio", "short", "equal", "raw", "e", "n", "c")), o)
     assert df.withColumn("got", got).filter("got <> expected").collect() == []
+
+
+def test_references_meet_only_keys_that_share_a_beginning(spark):
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("ab1.") for _ in range(rng.randrange(n)))
+    keys = list({(d, kind, key): (d, kind, key, f"c{i % 7}" if i % 7 else "", i) for i in range(120) for d, kind, key in [(rng.choice("xy"), rng.choice(("section", "full", "heading")), rng.choice(("1", "1.2", "12", "ab", some(9), some(40))))]}.values())
+    refs = {(rng.choice("xy"), rng.choice(("1.2.1 a", "12 b", "1", some(6), some(50)))) for _ in range(80)}
+    table = spark.createDataFrame(keys, "doc string, key_kind string, key string, content string, ord long").withColumn("key_norm", T.normal_reference(F.col("key")))
+    found = relations.resolved(spark.createDataFrame(sorted(refs), "doc string, ref string"), table)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all(line.count(" = ") >= 2 for line in joins), joins
+    norms = {r.x: r.n for r in spark.createDataFrame([(x,) for x in {k[2] for k in keys} | {r for _, r in refs}], "x string").select("x", T.normal_reference(F.col("x")).alias("n")).collect()}
+    want = {}
+    for doc, ref in refs:
+        if not ref.strip():
+            continue
+        number, tries = re.match(r"([0-9]+([.][0-9]+)*)?", ref)[0], []
+        exact = [(3 if kind == "section" else 4, 0, at, key) for d, kind, key, _, at in keys if d == doc and (kind == "section" and key == ref or kind == "full" and key in (ref, norms[ref]))]
+        for d, kind, key, content, at in () if exact else keys:
+            part = norms[key] in norms[ref] or norms[ref] in norms[key]
+            if d != doc:
+                continue
+            if kind != "section" and part:
+                tries.append((5 if kind == "full" else 6, 0, at, key))
+            if kind == "section" and number and content and (key.startswith(number) or number.startswith(key)):
+                tries.append((7, -(10**6) if key == number else -len(key), at, key))
+        if exact or tries:
+            want[doc, ref] = min(exact or tries)[0::3]
+    assert {(r.doc, r.ref): (r.tier, r.key) for r in found.collect()} == want
