@@ -208,12 +208,7 @@ _SCORES = f"""{_UNITS}, w AS MATERIALIZED (SELECT side, id, token, x / sqrt(sum(
 def _scores(spark, sf_dir) -> DataFrame:
     """The lexical channels of documents and passages, fused; containment over the smaller set of words."""
     down, up = _units(spark, sf_dir)
-    stats = _statistics(down, up)
-    grams = lambda df, s: df.select(F.col("uid").alias(s), F.size("grams").alias(f"n{s}"), F.explode("grams").alias("gram"))
-    contain = grams(down, "d").join(grams(up, "u"), "gram").groupBy("d", "u").agg((F.count("*") / F.least(F.first("nd"), F.first("nu"))).alias("contain"))
-    idf = discovery.rare_hit_pairs(down, up, stats)
-    tfidf = discovery.tfidf_pairs(discovery.tfidf_rows(down, stats), discovery.tfidf_rows(up, stats))
-    joined = contain.join(idf, ["d", "u"], "full_outer").join(tfidf, ["d", "u"], "full_outer").na.fill(0.0)
+    joined = discovery.lexical_pairs(down, up, _statistics(down, up), F.size("grams"))
     score = V.fused(F.lit(0.0), F.col("contain"), F.col("idf"), F.col("tfidf"), F.lit(1.0), LATIN)
     return joined.select((F.col("d") / 2).cast("long").alias("d"), F.floor(F.col("u") / 2).alias("u"), six(F.col("contain")).alias("contain"), six(F.col("idf")).alias("idf"), six(F.col("tfidf")).alias("tfidf"), six(score).alias("score"))
 
