@@ -158,3 +158,18 @@ def test_references_meet_only_keys_that_share_a_beginning(spark):
         if exact or tries:
             want[doc, ref] = min(exact or tries)[0::3]
     assert {(r.doc, r.ref): (r.tier, r.key) for r in found.collect()} == want
+
+
+def test_texts_that_could_be_alike_are_told_by_common_subsequences(spark):
+    """Random hexadecimal texts nearly all share pairs of characters; they may not be compared for that."""
+    rng = random.Random(5)
+    some = lambda: "<" + "".join(rng.choice("0123456789abcdef") for _ in range(32)) + "9>"
+    texts = [some() for _ in range(200)] + ["ab" * 40, "pump", "pumps"]
+    held = relations.Texts([(t, {"all": 0}) for t in texts])
+    near = texts[7][:20] + "x" + texts[7][24:]
+    assert list(held.candidates(near, (0,), 0.7)) == [texts[7]]
+    assert sum(len(list(held.candidates(t, (0,), 0.7))) for t in texts[:50]) == 50
+    for text in ("pumpe", "ab" * 33, texts[3]):
+        found = set(held.candidates(text, (0,), 0.7))
+        assert {t for t in texts if difflib.SequenceMatcher(None, text, t).ratio() >= 0.7} <= found
+    assert list(held.candidates("pump", (1,), 0.7)) == []
